@@ -19,6 +19,10 @@ PART_CHARS = 1 << 16
 # ends before the next white space, and no alternative looks back, so both sides match as they do together.
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])")
 
+# A long run of the splitting pattern's white space. The library's matcher keeps a stack entry for each of its
+# characters and breaks down on very long ones, so their one match is told to it directly.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2048,}")
+
 
 def parts(text: str, size: int = PART_CHARS) -> list[str]:
     """Cut a long text at the first safe boundary after every ``size`` characters."""
@@ -35,6 +39,21 @@ def parts(text: str, size: int = PART_CHARS) -> list[str]:
     return out
 
 
+def encode_text(enc, text: str, size: int = PART_CHARS) -> list[list[int]]:
+    """Ids of a whole text, in parts, as ``enc.encode_ordinary(text)`` would give them in one list."""
+    out = []
+    for part in parts(text, size):
+        start = 0
+        if len(part) >= 2048:
+            for run in _LONG_BLANK.finditer(part):
+                # All of the run is one match where the text ends; before other text its last character is not in it.
+                end = run.end() if run.end() == len(part) else run.end() - 1
+                out += [enc.encode_ordinary(part[start : run.start()]), enc._encode_single_piece(part[run.start() : end])]
+                start = end
+        out.append(enc.encode_ordinary(part[start:]))
+    return out
+
+
 @lru_cache(maxsize=4)
 def _encoding(rank_file: bytes, pattern: str):
     import tiktoken
@@ -69,7 +88,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
         def fn(cols):
             ids, counts = [], []
             for text in cols[0]:
-                got = [enc.encode_ordinary(p) for p in parts(text or "", part_chars)]
+                got = encode_text(enc, text or "", part_chars)
                 counts.append(sum(map(len, got)))
                 ids.append(b"".join(np.asarray(g, dtype="<u4").tobytes() for g in got))
             return [ids, counts]
