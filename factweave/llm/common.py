@@ -74,6 +74,17 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return Kept(df, tag).df
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where they share the driver's files but not its ``sys.path``.
+
+    Elsewhere the package is shipped with ``--py-files``; the extra path then does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def extend_rows(df: DataFrame, inputs: Sequence[str], outputs: Sequence[T.StructField], make: Callable[[], Callable[[list[list]], list[list]]], rows_at_once: int = 256) -> DataFrame:
     """Add Python-computed columns to every row, Arrow batch by Arrow batch.
 
@@ -86,6 +97,7 @@ def extend_rows(df: DataFrame, inputs: Sequence[str], outputs: Sequence[T.Struct
     names = {f.name for f in outputs}
     kept = [c for c in df.columns if c not in names]
     moved = [c for c in dict.fromkeys(inputs) if c in names]
+    importable(df.sparkSession)
     source = df.select(*[col(c) for c in kept], *[col(c).alias(f"__in_{k}") for k, c in enumerate(moved)])
     at = [kept.index(c) if c in kept else len(kept) + moved.index(c) for c in inputs]
     types = [to_arrow_type(f.dataType) for f in outputs]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules
+from . import bpe, mixing, pii, quality_rules
 from .common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -27,13 +27,23 @@ def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count_of(k: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+
+    counts = [count_of(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("base"), F.col("terms")).alias("spans"))
+
+
 def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op7_adaptive_rules": op7_adaptive_rules, "op10_pivotal_mix": op10_pivotal_mix}
+    return {"op2_byte_bpe": op2_byte_bpe, "op7_adaptive_rules": op7_adaptive_rules, "op8_disclosure_pii": op8_disclosure_pii, "op10_pivotal_mix": op10_pivotal_mix}
 
 
 def oracle_sql() -> dict[str, str]:
