@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality_rules
+from . import bpe, mixing, pii, quality_fm, quality_rules, toxicity
 from .common import table
+from .labelled import held_out
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
@@ -22,6 +23,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality_fm.fit(docs, table(spark, sf_dir, "labels"), meta_cols=("n_chars",))
+    scored = quality_fm.score(docs, model, ("n_chars",))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,13 +45,19 @@ def op8_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("base"), F.col("terms")).alias("spans"))
 
 
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rejected")
+
+
 def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op7_adaptive_rules": op7_adaptive_rules, "op8_disclosure_pii": op8_disclosure_pii, "op10_pivotal_mix": op10_pivotal_mix}
+    return {"op2_byte_bpe": op2_byte_bpe, "op5_factorisation_quality": op5_factorisation_quality, "op7_adaptive_rules": op7_adaptive_rules, "op8_disclosure_pii": op8_disclosure_pii, "op9_toxicity_cnn": op9_toxicity_cnn, "op10_pivotal_mix": op10_pivotal_mix}
 
 
 def oracle_sql() -> dict[str, str]:
