@@ -55,8 +55,9 @@ class Shingler:
         known = self.words
         if len(known) > self.MOST:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         n = min(self.gram, len(words))
         mixed = np.full(len(words) - n + 1, n, dtype=np.uint64)
