@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, pii, quality_fm, quality_rules, toxicity
+from . import bpe, jaccard, lattice, mixing, pii, quality_fm, quality_rules, toxicity
 from .common import table
 from .labelled import held_out
 
@@ -23,6 +23,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return joined.select("doc_id", "n_shingles", "component_id", "class_id", "class_size")
@@ -61,8 +65,14 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op4_jaccard_join": op4_jaccard_join, "op5_factorisation_quality": op5_factorisation_quality, "op7_adaptive_rules": op7_adaptive_rules, "op8_disclosure_pii": op8_disclosure_pii, "op9_toxicity_cnn": op9_toxicity_cnn, "op10_pivotal_mix": op10_pivotal_mix}
+    return {"op2_byte_bpe": op2_byte_bpe, "op3_lattice_near_dedup": op3_lattice_near_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_factorisation_quality": op5_factorisation_quality, "op7_adaptive_rules": op7_adaptive_rules, "op8_disclosure_pii": op8_disclosure_pii, "op9_toxicity_cnn": op9_toxicity_cnn, "op10_pivotal_mix": op10_pivotal_mix, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
