@@ -5,7 +5,7 @@ global order (seldom ones first, frequent ones, estimated from all texts, last):
 share a shingle of their prefixes, whatever the order. Two relations then save work:
 
 * Index lists are cut into blocks of equal set size and position, and whole pairs of blocks are skipped where size
-  or position rules a link out.
+  or position rules a link out. A pair comes out of one list only: that of the first shingle the two prefixes share.
 * Where a list is long, a few of its sets (leaders) are compared with all others first. Sets found similar to a
   leader get their further answers from the leader's: members of one component need no comparison, and
   overlaps with a common leader bound the overlap of a pair from both sides, so most pairs are decided unseen.
@@ -31,8 +31,9 @@ FREQUENT = 1 << 18
 LEAST_COUNT = 4
 COUNT_BLOCK = 2_000_000
 #: Lists of more sets go by leaders first; leaders a round, and rounds.
-LONG_LIST, LEADERS, ROUNDS = 8, 4, 2
-BLOCK_SETS = 32
+LONG_LIST, LEADERS, ROUNDS = 8, 2, 2
+#: Sets of a long list that are compared at once.
+CHUNK = 512
 
 
 class Shingler:
@@ -70,7 +71,7 @@ class Shingler:
 
 
 def _set_id(shingles) -> int:
-    """Names a set by its contents (64 bits; always used together with its size)."""
+    """Names a set by its contents, in 64 bits."""
     import xxhash
 
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
@@ -227,8 +228,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
             long = long.join(mixed, "token", "left_semi")
         else:
             long = long.withColumn("root", F.col("set_id"))
-        lead = long.groupBy("token").agg(F.array_distinct(F.array(*[F.min_by(F.struct("set_id", "size", "root"), F.xxhash64(F.lit(r * LEADERS + k), "set_id")) for k in range(LEADERS)])).alias("leaders"))
-        star = long.join(lead, "token").select("set_id", "size", "root", F.explode("leaders").alias("l")).where("l.root <> root")
+        # Sets that lie in many long lists differ little from their neighbours: the best leaders.
+        central = long.groupBy("set_id").agg(F.count(F.lit(1)).alias("score"))
+        rank = Window.partitionBy("token").orderBy(F.desc("score"), "set_id")
+        lead = long.join(central, "set_id").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= LEADERS * (r + 1)).where(F.col("k") > LEADERS * r)
+        lead = lead.select("token", F.struct("set_id", "size", "root").alias("l"))
+        star = long.join(lead, "token").select("set_id", "size", "root", "l").where("l.root <> root")
         flip = F.col("l.set_id") < F.col("set_id")
         mine, other = F.struct("set_id", "size"), F.struct("l.set_id", "l.size")
         star = star.select(F.when(flip, other).otherwise(mine).alias("x"), F.when(flip, mine).otherwise(other).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
@@ -245,27 +250,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
         links = fresh if links is None else links.unionByName(fresh)
         comps = keep(components(links).withColumnsRenamed({"node": "set_id"}), f"jac-roots{r}")
 
-    # Every other pair of sets that share an entry, from blocks of equal size and position; components are skipped whole.
-    entries = lists.withColumn("root", F.col("set_id")) if comps is None else lists.join(comps, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    chunk = F.pmod(F.xxhash64("set_id"), F.floor(F.col("n_list") / BLOCK_SETS) + 1)
-    blocks = entries.groupBy("token", "size", "pos", "root", chunk.alias("chunk")).agg(F.collect_list("set_id").alias("sets"))
-    if comps is not None:
-        mixed = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        blocks = blocks.join(mixed, "token", "left_semi")
-    blocks = keep(blocks.drop("chunk"), "jac-blocks")
-    one, two = blocks.alias("one"), blocks.alias("two")
-    s1, s2, p1, p2 = F.col("one.size"), F.col("two.size"), F.col("one.pos"), F.col("two.pos")
-    reach = F.least(p1, p2) + 1 + F.least(s1 - p1 - 1, s2 - p2 - 1)
-    near = one.join(two, (F.col("one.token") == F.col("two.token")) & (F.col("one.root") < F.col("two.root")) & (F.least(s1, s2) * 100 >= F.greatest(s1, s2) * percent) & (reach >= _needed(percent, s1, s2)))
-    near = near.select(F.explode("one.sets").alias("m"), s1.alias("m_size"), F.col("two.sets").alias("others"), s2.alias("o_size")).select("m", "m_size", F.explode("others").alias("o"), "o_size")
-    flip = F.col("o") < F.col("m")
-    pick = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))
-    pairs = near.select(pick("m", "o").alias("a"), pick("m_size", "o_size").alias("a_size"), pick("o", "m").alias("b"), pick("o_size", "m_size").alias("b_size"))
-    pairs = pairs.groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("c"))
-    # One of the two prefixes lies wholly before the other's end: its shingles that are not shared are lost for good.
-    need = _needed(percent, F.col("a_size"), F.col("b_size"))
-    left_over = lambda s: F.ceil(F.col(s) * percent / 100.0 - 1e-9) - 1 + F.col("c")  # noqa: E731  size - (prefix - c)
-    pairs = pairs.where((left_over("a_size") >= need) | (left_over("b_size") >= need))
+    # Every other pair of sets that share an entry; components are skipped whole.
+    sets = lists.groupBy("set_id", "size").agg(F.sort_array(F.collect_list("token")).alias("shared"))
+    sets = sets.withColumn("root", F.col("set_id")) if comps is None else sets.join(comps, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    entries = keep(lists.join(sets, ["set_id", "size"]), "jac-sets")
+    pairs = keep(_short_pairs(entries.where(F.col("n_list") <= LONG_LIST), percent).unionByName(_long_pairs(entries.where(F.col("n_list") > LONG_LIST), percent)), "jac-found")
     if known is not None:
         pairs = _bounded(pairs, known, percent)
     pairs = keep(pairs, "jac-pairs")
@@ -288,6 +277,106 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
     return out.select(F.col("doc").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.coalesce("rep", "doc").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("root", "rep", "doc").alias("component_id"))
 
 
+def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs from short lists, by a join whose condition leaves out what can't link."""
+    one, two = entries.alias("one"), entries.alias("two")
+    s1, s2, p1, p2 = F.col("one.size"), F.col("two.size"), F.col("one.pos"), F.col("two.pos")
+    need = _needed(percent, s1, s2)
+    reach = F.least(p1, p2) + 1 + F.least(s1 - p1 - 1, s2 - p2 - 1)
+    both = F.array_intersect("one.shared", "two.shared")
+    # One of the two prefixes lies wholly before the other's end: its shingles that are not shared are lost for good.
+    left_over = lambda s: F.ceil(s * percent / 100.0 - 1e-9) - 1 + F.size(both)  # noqa: E731  size - (prefix - common)
+    on = (F.col("one.token") == F.col("two.token")) & (F.col("one.set_id") < F.col("two.set_id")) & (F.col("one.root") != F.col("two.root"))
+    on = on & (F.least(s1, s2) * 100 >= F.greatest(s1, s2) * percent) & (reach >= need)
+    on = on & (F.array_min(both) == F.col("one.token")) & ((left_over(s1) >= need) | (left_over(s2) >= need))
+    return one.join(two, on).select(F.col("one.set_id").alias("a"), s1.alias("a_size"), F.col("two.set_id").alias("b"), s2.alias("b_size"))
+
+
+def _long_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs from long lists: chunks of a list against each other, in tasks of bounded size."""
+    chunks = F.ceil(F.col("n_list") / CHUNK).cast("int")
+    dealt = entries.withColumn("mine", F.pmod(F.xxhash64("set_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "set_id", "size", "pos", "root", "shared")
+    dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("a_size", T.IntegerType()), T.StructField("b", T.LongType()), T.StructField("b_size", T.IntegerType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def groups():
+            now, held = None, []
+            for batch in batches:
+                cols = [np.asarray(batch.column(k)) for k in range(8)] + [batch.column(8).to_pylist()]
+                spot = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+                for a, b in zip([0, *spot], [*spot, batch.num_rows], strict=True):
+                    if a == b:
+                        continue
+                    name = tuple(int(c[a]) for c in cols[:3])
+                    if name != now and held:
+                        yield now, held
+                        held = []
+                    now = name
+                    held.append([c[a:b] for c in cols[3:]])
+            if held:
+                yield now, held
+
+        for (token, x, y), held in groups():
+            side, ids, size, pos, root = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in range(5))
+            shared = [t for h in held for t in h[5]]
+            got = _compare(token, x != y, side, ids, size, pos, root, shared, percent)
+            if len(got[0]):
+                i, j = got
+                flip = ids[i] > ids[j]
+                i, j = np.where(flip, j, i), np.where(flip, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(size[i].astype(np.int32)), pa.array(ids[j]), pa.array(size[j].astype(np.int32))], names=[f.name for f in schema])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _compare(token, across, side, ids, size, pos, root, shared, percent):
+    """Numbers (i, j) of the pairs of one chunk pair of a list that may link and share no earlier shingle."""
+    import numpy as np
+
+    def needed(a, b):
+        return -(-percent * (a + b) // (100 + percent))
+
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(np.unique(root)) < 2:
+        return none
+    # Blocks of equal size and position are ruled in or out as a whole.
+    block, of = np.unique(np.stack([size, pos], axis=1), axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    s, p = block[:, 0], block[:, 1]
+    reach = np.minimum(p[:, None], p) + 1 + np.minimum((s - p)[:, None], s - p) - 1
+    near = (np.minimum(s[:, None], s) * 100 >= np.maximum(s[:, None], s) * percent) & (reach >= needed(s[:, None], s))
+    if not near.any():
+        return none
+    ok = near[of][:, of] & (root[:, None] != root)
+    if across:
+        ok &= side[:, None] != side
+    ok = np.triu(ok, 1)
+    if not ok.any():
+        return none
+    # Common shingles of all pairs at once, from the sets' incidence with the shingles the list's sets share.
+    tokens, where = np.unique(np.concatenate([np.asarray(t, dtype=np.int64) for t in shared]), return_inverse=True)
+    rows = np.repeat(np.arange(len(shared)), [len(t) for t in shared])
+    common = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    early = np.zeros_like(common)
+    first = np.searchsorted(tokens, token)
+    for a in range(0, len(tokens), 2048):
+        part = (where >= a) & (where < a + 2048)
+        has = np.zeros((len(ids), min(2048, len(tokens) - a)), dtype=np.float32)
+        has[rows[part], where[part] - a] = 1
+        common += has @ has.T
+        if first > a:
+            early += has[:, : first - a] @ has[:, : first - a].T
+    base = -(-percent * size // 100) - 1
+    need = needed(size[:, None], size)
+    ok &= (early == 0) & ((base[:, None] + common >= need) | (base + common >= need))
+    return np.nonzero(ok)
+
+
 def _bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs with need and low, without those that their overlaps with common leaders rule out.
 
