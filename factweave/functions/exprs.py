@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,8 +177,6 @@ def json_objects(df: DataFrame, text: str, out: str, required: tuple[str, ...] |
     from factweave.sources.store import importable
 
     importable(df.sparkSession)
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: extract_json_text(t) if required is None else first_object(t, required))

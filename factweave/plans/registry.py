@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import corpus, program
+
 
 def queries() -> dict:
-    return {}
+    return program.QUERIES | corpus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return program.ORACLES | corpus.ORACLES
