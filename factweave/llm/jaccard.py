@@ -5,7 +5,7 @@ global order (seldom ones first, frequent ones, estimated from all texts, last):
 share a shingle of their prefixes, whatever the order. Two relations then save work:
 
 * Index lists are cut into blocks of equal set size and position, and whole pairs of blocks are skipped where size
-  or position rules a link out. A pair comes out of one list only: that of the first shingle the two prefixes share.
+  or position rules a link out.
 * Where a list is long, a few of its sets (leaders) are compared with all others first. Sets found similar to a
   leader get their further answers from the leader's: members of one component need no comparison, and
   overlaps with a common leader bound the overlap of a pair from both sides, so most pairs are decided unseen.
@@ -34,6 +34,7 @@ COUNT_BLOCK = 2_000_000
 LONG_LIST, LEADERS, ROUNDS = 8, 2, 2
 #: Sets of a long list that are compared at once.
 CHUNK = 512
+CHUNK_ENTRIES = 100_000
 
 
 class Shingler:
@@ -250,11 +251,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
         links = fresh if links is None else links.unionByName(fresh)
         comps = keep(components(links).withColumnsRenamed({"node": "set_id"}), f"jac-roots{r}")
 
-    # Every other pair of sets that share an entry; components are skipped whole.
-    sets = lists.groupBy("set_id", "size").agg(F.sort_array(F.collect_list("token")).alias("shared"))
-    sets = sets.withColumn("root", F.col("set_id")) if comps is None else sets.join(comps, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    entries = keep(lists.join(sets, ["set_id", "size"]), "jac-sets")
-    pairs = keep(_short_pairs(entries.where(F.col("n_list") <= LONG_LIST), percent).unionByName(_long_pairs(entries.where(F.col("n_list") > LONG_LIST), percent)), "jac-found")
+    # Every other pair of sets that share an entry, with the number of entries they share; components are skipped whole.
+    per_set = lists.groupBy("set_id").agg(F.count(F.lit(1)).cast("int").alias("n_set"))
+    if comps is not None:
+        per_set = per_set.join(comps, "set_id", "left")
+    root = F.col("set_id") if comps is None else F.coalesce("root", "set_id")
+    entries = keep(lists.join(per_set.withColumn("root", root), "set_id"), "jac-rooted")
+    pairs = _short_pairs(entries.where(F.col("n_list") <= LONG_LIST), percent).unionByName(_long_pairs(entries.where(F.col("n_list") > LONG_LIST), percent))
+    pairs = pairs.groupBy("a", "a_size", "b", "b_size").agg(F.sum("c").alias("c"))
+    # One of the two prefixes lies wholly before the other's end: its shingles that are not shared are lost for good.
+    need = _needed(percent, F.col("a_size"), F.col("b_size"))
+    left_over = lambda size: F.ceil(F.col(size) * percent / 100.0 - 1e-9) - 1 + F.col("c")  # noqa: E731  size - (prefix - c)
+    pairs = keep(pairs.where((left_over("a_size") >= need) | (left_over("b_size") >= need)).drop("c"), "jac-found")
     if known is not None:
         pairs = _bounded(pairs, known, percent)
     pairs = keep(pairs, "jac-pairs")
@@ -278,27 +286,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
 
 
 def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs from short lists, by a join whose condition leaves out what can't link."""
+    """(a, a_size, b, b_size, c = 1) for each shared entry of a short list, where size and position allow a link."""
     one, two = entries.alias("one"), entries.alias("two")
     s1, s2, p1, p2 = F.col("one.size"), F.col("two.size"), F.col("one.pos"), F.col("two.pos")
-    need = _needed(percent, s1, s2)
     reach = F.least(p1, p2) + 1 + F.least(s1 - p1 - 1, s2 - p2 - 1)
-    both = F.array_intersect("one.shared", "two.shared")
-    # One of the two prefixes lies wholly before the other's end: its shingles that are not shared are lost for good.
-    left_over = lambda s: F.ceil(s * percent / 100.0 - 1e-9) - 1 + F.size(both)  # noqa: E731  size - (prefix - common)
     on = (F.col("one.token") == F.col("two.token")) & (F.col("one.set_id") < F.col("two.set_id")) & (F.col("one.root") != F.col("two.root"))
-    on = on & (F.least(s1, s2) * 100 >= F.greatest(s1, s2) * percent) & (reach >= need)
-    on = on & (F.array_min(both) == F.col("one.token")) & ((left_over(s1) >= need) | (left_over(s2) >= need))
-    return one.join(two, on).select(F.col("one.set_id").alias("a"), s1.alias("a_size"), F.col("two.set_id").alias("b"), s2.alias("b_size"))
+    on = on & (F.least(s1, s2) * 100 >= F.greatest(s1, s2) * percent) & (reach >= _needed(percent, s1, s2))
+    return one.join(two, on).select(F.col("one.set_id").alias("a"), s1.alias("a_size"), F.col("two.set_id").alias("b"), s2.alias("b_size"), F.lit(1).cast("long").alias("c"))
 
 
 def _long_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs from long lists: chunks of a list against each other, in tasks of bounded size."""
-    chunks = F.ceil(F.col("n_list") / CHUNK).cast("int")
-    dealt = entries.withColumn("mine", F.pmod(F.xxhash64("set_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "set_id", "size", "pos", "root", "shared")
-    dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("a_size", T.IntegerType()), T.StructField("b", T.LongType()), T.StructField("b_size", T.IntegerType())])
+    """(a, a_size, b, b_size, c) from long lists, c being the shared entries among the lists of one leader.
+
+    Lists of one leader, their most central set, share most of their sets, so they are compared together: a pair
+    comes out once a leader, not once an entry. A leader's sets are cut into chunks, and pairs of chunks are tasks
+    of bounded size.
+    """
+    score = entries.groupBy("set_id").agg(F.count(F.lit(1)).alias("score"))
+    lead = entries.join(score, "set_id").groupBy("token").agg(F.min_by("set_id", F.struct(-F.col("score"), "set_id")).alias("leader"))
+    led = entries.join(lead, "token")
+    sizes = led.groupBy("leader", "set_id").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(F.sum("n").alias("n_entries"), F.count(F.lit(1)).alias("n_sets"))
+    sizes = sizes.select("leader", F.ceil(F.greatest(F.col("n_entries") / CHUNK_ENTRIES, F.col("n_sets") / CHUNK)).cast("int").alias("chunks"))
+    dealt = led.join(sizes, "leader").withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("leader", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "token", "set_id", "size", "pos", "root", "n_set")
+    dealt = dealt.repartition("leader", "x", "y").sortWithinPartitions("leader", "x", "y")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("a_size", T.IntegerType()), T.StructField("b", T.LongType()), T.StructField("b_size", T.IntegerType()), T.StructField("c", T.LongType())])
 
     def run(batches):
         import numpy as np
@@ -307,7 +319,7 @@ def _long_pairs(entries: DataFrame, percent: int) -> DataFrame:
         def groups():
             now, held = None, []
             for batch in batches:
-                cols = [np.asarray(batch.column(k)) for k in range(8)] + [batch.column(8).to_pylist()]
+                cols = [np.asarray(batch.column(k)) for k in range(10)]
                 spot = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
                 for a, b in zip([0, *spot], [*spot, batch.num_rows], strict=True):
                     if a == b:
@@ -321,60 +333,57 @@ def _long_pairs(entries: DataFrame, percent: int) -> DataFrame:
             if held:
                 yield now, held
 
-        for (token, x, y), held in groups():
-            side, ids, size, pos, root = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in range(5))
-            shared = [t for h in held for t in h[5]]
-            got = _compare(token, x != y, side, ids, size, pos, root, shared, percent)
-            if len(got[0]):
-                i, j = got
-                flip = ids[i] > ids[j]
-                i, j = np.where(flip, j, i), np.where(flip, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(size[i].astype(np.int32)), pa.array(ids[j]), pa.array(size[j].astype(np.int32))], names=[f.name for f in schema])
+        for (_, x, y), held in groups():
+            side, token, ids, size, pos, root, n_set = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in range(7))
+            got = _compare(x != y, side, token, ids, size, pos, root, n_set, percent)
+            if got is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=[f.name for f in schema])
 
     return dealt.mapInArrow(run, schema)
 
 
-def _compare(token, across, side, ids, size, pos, root, shared, percent):
-    """Numbers (i, j) of the pairs of one chunk pair of a list that may link and share no earlier shingle."""
+def _compare(across, side, token, ids, size, pos, root, n_set, percent):
+    """The pairs of one chunk pair that may link, with the entries they share; None if there are none.
+
+    The arguments after ``across`` have a value an entry.
+    """
     import numpy as np
 
     def needed(a, b):
         return -(-percent * (a + b) // (100 + percent))
 
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
-    if len(np.unique(root)) < 2:
-        return none
-    # Blocks of equal size and position are ruled in or out as a whole.
-    block, of = np.unique(np.stack([size, pos], axis=1), axis=0, return_inverse=True)
-    of = of.reshape(-1)
-    s, p = block[:, 0], block[:, 1]
-    reach = np.minimum(p[:, None], p) + 1 + np.minimum((s - p)[:, None], s - p) - 1
-    near = (np.minimum(s[:, None], s) * 100 >= np.maximum(s[:, None], s) * percent) & (reach >= needed(s[:, None], s))
-    if not near.any():
-        return none
-    ok = near[of][:, of] & (root[:, None] != root)
+    sets, at, of = np.unique(ids, return_index=True, return_inverse=True)
+    size_of, root_of, side_of, n_of = size[at], root[at], side[at], n_set[at]
+    if len(np.unique(root_of)) < 2:
+        return None
+    ok = (root_of[:, None] != root_of) & (np.minimum(size_of[:, None], size_of) * 100 >= np.maximum(size_of[:, None], size_of) * percent)
     if across:
-        ok &= side[:, None] != side
+        ok &= side_of[:, None] != side_of
     ok = np.triu(ok, 1)
     if not ok.any():
-        return none
-    # Common shingles of all pairs at once, from the sets' incidence with the shingles the list's sets share.
-    tokens, where = np.unique(np.concatenate([np.asarray(t, dtype=np.int64) for t in shared]), return_inverse=True)
-    rows = np.repeat(np.arange(len(shared)), [len(t) for t in shared])
-    common = np.zeros((len(ids), len(ids)), dtype=np.float32)
-    early = np.zeros_like(common)
-    first = np.searchsorted(tokens, token)
-    for a in range(0, len(tokens), 2048):
-        part = (where >= a) & (where < a + 2048)
-        has = np.zeros((len(ids), min(2048, len(tokens) - a)), dtype=np.float32)
-        has[rows[part], where[part] - a] = 1
-        common += has @ has.T
-        if first > a:
-            early += has[:, : first - a] @ has[:, : first - a].T
-    base = -(-percent * size // 100) - 1
-    need = needed(size[:, None], size)
-    ok &= (early == 0) & ((base[:, None] + common >= need) | (base + common >= need))
-    return np.nonzero(ok)
+        return None
+    # Within a list, blocks of equal size and position are ruled in or out as a whole.
+    common = np.zeros(ok.shape, dtype=np.int32)
+    order = np.argsort(token, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
+        block, where = np.unique(np.stack([size[rows], pos[rows]], axis=1), axis=0, return_inverse=True)
+        s, p = block[:, 0], block[:, 1]
+        reach = np.minimum(p[:, None], p) + 1 + np.minimum((s - p)[:, None], s - p) - 1
+        near = reach >= needed(s[:, None], s)
+        where = where.reshape(-1)
+        if near.all():
+            common[np.ix_(of[rows], of[rows])] += 1
+        elif near.any():
+            common[np.ix_(of[rows], of[rows])] += near[where][:, where]
+    # What the two share outside these lists is at most what each has outside them.
+    rest = n_of - np.bincount(of, minlength=len(sets))
+    base, need = -(-percent * size_of // 100) - 1, needed(size_of[:, None], size_of)
+    most = common + np.minimum(rest[:, None], rest)
+    ok &= (common > 0) & ((base[:, None] + most >= need) | (base + most >= need))
+    i, j = np.nonzero(ok)
+    if not len(i):
+        return None
+    return sets[i], size_of[i].astype(np.int32), sets[j], size_of[j].astype(np.int32), common[i, j].astype(np.int64)
 
 
 def _bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
