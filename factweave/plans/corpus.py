@@ -218,7 +218,7 @@ def _vectors(spark, d):
 VEC = "v AS (SELECT vec_id, label, unnest(range(len(embedding))) AS idx, unnest(embedding)::DOUBLE AS val FROM embeddings), cen AS (SELECT label, idx, sum(val) / count(*) AS c FROM v GROUP BY label, idx), nrm AS (SELECT label, sqrt(sum(c * c)) AS n FROM cen GROUP BY label), dots AS (SELECT label, vec_id, sum(val * c) AS d FROM v JOIN cen USING (label, idx) GROUP BY label, vec_id), sim AS (SELECT label, vec_id, d / n AS s FROM dots JOIN nrm USING (label)), med AS (SELECT label, vec_id, s, row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, vec_id) AS k FROM sim)"
 
 
-@query("a10_centroids", f"WITH {VEC} SELECT label AS cluster, idx, round(c, 5) AS val, weight FROM cen JOIN (SELECT label, count(*) AS weight FROM embeddings GROUP BY label) USING (label)")
+@query("a10_centroids", f"WITH {VEC} SELECT label AS cluster, CAST(idx AS INTEGER) AS idx, round(c, 5) AS val, weight FROM cen JOIN (SELECT label, count(*) AS weight FROM embeddings GROUP BY label) USING (label)")
 def a10(spark, d):
     v, c = _vectors(spark, d)
     return features.centroids(v, c).withColumn("val", F.round("val", 5))
