@@ -77,18 +77,25 @@ def word_vectors(m: Model, parts) -> np.ndarray:
     return m.emb[np.asarray(parts, dtype=np.int32).reshape(-1, WordParts.WIDTH)].sum(1)
 
 
-def _pooled(m: Model, vectors: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+def _pooled(m: Model, vectors: np.ndarray, docs: list[np.ndarray], cut: list[bool]) -> np.ndarray:
+    """``cut`` texts go on in another piece: windows that start in their last words belong to that one."""
     ids, starts = _layout(docs)
-    return np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in _responses(m, vectors, ids, starts)], axis=1)
+    open_ = np.asarray([a + len(d) - g for a, d, c in zip(starts, docs, cut, strict=True) if c for g in range(1, GAP + 1)], dtype=np.int64)
+    out = []
+    for r in _responses(m, vectors, ids, starts):
+        r[open_] = -1e9
+        out.append(np.maximum.reduceat(r, starts, axis=0))
+    return np.concatenate(out, axis=1)
 
 
 def pooled(m: Model, vectors: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
     """Max-pooled responses of whole texts, piece by piece, so that memory does not follow a text's length."""
-    pieces, owner = [], []
+    pieces, owner, cut = [], [], []
     for k, d in enumerate(docs):
-        for a in range(0, max(1, len(d)), PIECE):
+        for a in range(0, max(1, len(d) - GAP), PIECE):
             pieces.append(d[a : a + PIECE + GAP])
             owner.append(k)
+            cut.append(a + PIECE + GAP < len(d))
     out = np.full((len(docs), FILTERS * len(WIDTHS)), -np.inf, dtype=np.float32)
     a = 0
     while a < len(pieces):
@@ -96,7 +103,7 @@ def pooled(m: Model, vectors: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
         while b < len(pieces) and (b == a or n + len(pieces[b]) <= PIECE):
             n += len(pieces[b])
             b += 1
-        np.maximum.at(out, owner[a:b], _pooled(m, vectors, pieces[a:b]))
+        np.maximum.at(out, owner[a:b], _pooled(m, vectors, pieces[a:b], cut[a:b]))
         a = b
     return out
 
