@@ -172,7 +172,7 @@ def body(pcode: Column) -> Column:
 
 def leaf_distinct(leads: DataFrame, order: str = "lead_id") -> DataFrame:
     """Of leads that differ only in the name of an equal leaf body the first stays; empty chains and null bodies all stay."""
-    known = leads.withColumn("__b", body(F.element_at("pcode_list", -1)))
+    known = leads.withColumn("__b", body(F.try_element_at("pcode_list", F.lit(-1))))
     loose = (F.size("call_chain") == 0) | F.col("__b").isNull()
     w = Window.partitionBy("item_id", F.slice("call_chain", F.lit(1), F.greatest(F.size("call_chain") - 1, F.lit(0))), "__b").orderBy(order)
     firm = known.where(~loose).withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
