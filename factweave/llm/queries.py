@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lattice, mixing, pii, preference, quality_fm, quality_rules, revisit, toxicity
+from . import bpe, jaccard, lattice, mixing, oracles, pii, preference, quality_fm, quality_rules, revisit, toxicity
 from .common import table
 from .labelled import held_out
 
@@ -130,4 +130,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_format": OP1_SQL, "op6_revisits": OP6_SQL}
+    return {
+        "op1_preference_format": OP1_SQL,
+        "op3_lattice_near_dedup": oracles.OP3,
+        "op4_jaccard_join": oracles.OP4,
+        "op6_revisits": OP6_SQL,
+        "op7_adaptive_rules": oracles.op7(quality_rules.RULES, quality_rules.SPREADS, quality_rules.LEAST_ROWS),
+    }
