@@ -266,3 +266,115 @@ def s9(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("@@"), "p_brand")).otherwise("")).alias("func"))
     lib, func = dynsym_parts()
     return p.select("p_partkey", lib.alias("lib"), func.alias("func"))
+
+
+@query("p2_slim_code", "SELECT doc_id AS item_id, md5(text) AS disasm_md5 FROM documents")
+def p2(spark, d):
+    code = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.md5("text").alias("disasm_md5"), F.upper("text").alias("pcode"))
+    return relational.slim(code)
+
+
+@query("p7_place", "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN 'Stack' ELSE 'Register' END AS by_distance, CASE WHEN p_size % 2 = 0 THEN 'Register' ELSE 'Stack' END AS by_register FROM part")
+def p7(spark, d):
+    dist, reg = F.when(F.col("p_size") % 3 != 0, F.col("p_size")), F.when(F.col("p_size") % 2 == 0, F.col("p_size"))
+    a, b = relational.place(dist, reg)
+    return table(spark, d, "part").select("p_partkey", a.alias("by_distance"), b.alias("by_register"))
+
+
+@query("p9_socket_split", "SELECT page_id, contains(lower(url), 'example.com') AS skipped FROM pages")
+def p9(spark, d):
+    return table(spark, d, "pages").select("page_id", F.lower("url").contains("example.com").alias("skipped"))
+
+
+@query("p10_blank_guard", "SELECT event_id FROM events WHERE CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END <> ''")
+def p10(spark, d):
+    named = table(spark, d, "events").withColumn("name", F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_type")))
+    return named.where("name is not null and name <> ''").select("event_id")
+
+
+@query("d1_ordered_distinct", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY k) AS seen FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY ALL) GROUP BY o_custkey")
+def d1(spark, d):
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("l"))
+    return lists.select("o_custkey", F.array_join(F.array_distinct("l.o_orderpriority"), ",").alias("seen"))
+
+
+@query("f2_api_category", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'mem_copy' WHEN 1 THEN 'str_len' WHEN 2 THEN 'mem_cmp' ELSE 'other' END AS category FROM part")
+def f2(spark, d):
+    from factweave.sources.facts import api_categories
+
+    named = table(spark, d, "part").select("p_partkey", F.expr("case p_size % 4 when 0 then '_memcpy' when 1 then 'strlen' when 2 then 'memcmp' else 'frobnicate' end").alias("api"))
+    return exprs.api_category(named, api_categories(spark)).select("p_partkey", "category")
+
+
+@query("f7_strip_prefix", "SELECT p_partkey, regexp_replace(regexp_replace(x, '^\\.+', ''), '^(__imp_|_imp_)', '') AS name FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '.' WHEN 1 THEN '__imp_' WHEN 2 THEN '._imp_' ELSE '' END || p_name AS x FROM part)")
+def f7(spark, d):
+    name = F.concat(F.expr("case p_size % 4 when 0 then '.' when 1 then '__imp_' when 2 then '._imp_' else '' end"), "p_name")
+    return table(spark, d, "part").select("p_partkey", exprs.strip_prefix(name).alias("name"))
+
+
+@query("f11_int_ascii", "SELECT p_partkey, CASE WHEN a BETWEEN 32 AND 126 AND b BETWEEN 32 AND 126 THEN chr(CAST(a AS INTEGER)) || chr(CAST(b AS INTEGER)) END AS text FROM (SELECT p_partkey, (256 + p_partkey % 32000) // 256 AS a, (256 + p_partkey % 32000) % 256 AS b FROM part)")
+def f11(spark, d):
+    return table(spark, d, "part").select("p_partkey", exprs.int_ascii(F.lit(256) + F.col("p_partkey") % 32000).alias("text"))
+
+
+@query("f14_evidence_text", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Pseudo-code of f: ' || text ELSE 'Disassembly of f: ' || text END AS said FROM conversations")
+def f14(spark, d):
+    kind = F.when(F.col("role") == "user", "fetch_pcode").otherwise("fetch_disasm")
+    params = F.create_map(F.lit("pcode"), "text", F.lit("ehasm"), "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", exprs.render_evidence(kind, F.lit("f"), F.lit("v"), params).alias("said"))
+
+
+@query("f15_numbered", "SELECT conv_id, string_agg(i || '. ' || role, chr(10) ORDER BY turn) AS list FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY conv_id")
+def f15(spark, d):
+    lists = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("l"))
+    return lists.select("conv_id", exprs.numbered(F.col("l.role")).alias("list"))
+
+
+@query("f17_render", "SELECT page_id, 'Page ' || page_id || ' at ' || url || '.' AS text FROM pages")
+def f17(spark, d):
+    text = exprs.render("Page {{ id }} at {{ url }}.", {"id": F.col("page_id"), "url": F.col("url")})
+    return table(spark, d, "pages").select("page_id", text.alias("text"))
+
+
+@query("f18_signal_name", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'SIGSEGV' WHEN 1 THEN 'SIGABRT' ELSE 'SIG77' END AS name FROM part")
+def f18(spark, d):
+    return table(spark, d, "part").select("p_partkey", exprs.signal_name(F.expr("case p_size % 3 when 0 then 11 when 1 then 6 else 77 end")).alias("name"))
+
+
+@query("f19_gate_text", "SELECT p_partkey, 'O1: ' || array_to_string(list_sort(list_distinct([p_brand, p_type, p_brand])), ', ') || chr(10) || 'O2: ' || p_name AS text FROM part")
+def f19(spark, d):
+    gates = F.create_map(F.lit("O2"), F.array("p_name"), F.lit("O1"), F.array("p_brand", "p_type", "p_brand"))
+    return table(spark, d, "part").select("p_partkey", exprs.gate_text(gates).alias("text"))
+
+
+@query("a15_sinks_in_sources", "SELECT count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS n_sink_in_source, count(*) AS n_leads FROM orders")
+def a15(spark, d):
+    sources = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "api string")
+    return aggregates.sinks_in_sources(table(spark, d, "orders").select(F.col("o_orderpriority").alias("sink_api")), sources)
+
+
+@query("a18_variable_accesses", "SELECT l_orderkey, l_returnflag AS kind, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS lines FROM lineitem GROUP BY ALL")
+def a18(spark, d):
+    li = table(spark, d, "lineitem")
+    accesses = li.select(F.col("l_orderkey").alias("item_id"), F.lit("f").alias("func"), F.lit("v").alias("var"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("citem"))
+    lines = li.select(F.col("l_orderkey").alias("item_id"), F.lit("f").alias("func"), F.col("l_linenumber").alias("citem"), F.col("l_linenumber").alias("ln")).distinct()
+    got = aggregates.variable_accesses(accesses, lines)
+    return got.select(F.col("item_id").alias("l_orderkey"), "kind", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
+
+
+@query("k1_feature_documents", "SELECT p_partkey AS item_id, '{\"p_name\":\"' || p_name || '\",\"p_size\":' || p_size || '}' AS json FROM part")
+def k1(spark, d):
+    return reports.feature_documents(table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_size"))
+
+
+@query("k8_scatter", "SELECT vec_id AS item_id, round(CAST(embedding[1] AS DOUBLE), 5) AS pc1, vec_id % 10 = 0 AS selected FROM embeddings")
+def k8(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.round(F.col("embedding")[0].cast("double"), 5).alias("pc1"))
+    return reports.scatter(e, e.where("item_id % 10 = 0").select("item_id"))
+
+
+@query("s2_class_decode", "SELECT p_partkey, CASE p_size % 3 WHEN 1 THEN 32 WHEN 2 THEN 64 ELSE 0 END AS bits FROM part")
+def s2(spark, d):
+    magic = F.expr("concat(X'7F454C46', case p_size % 3 when 1 then X'01' when 2 then X'02' else X'00' end)")
+    kind = F.hex(F.substring(magic, 5, 1))
+    return table(spark, d, "part").select("p_partkey", F.when(kind == "01", 32).when(kind == "02", 64).otherwise(0).alias("bits"))
