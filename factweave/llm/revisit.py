@@ -70,8 +70,11 @@ def resolve(records: DataFrame, id_col: str = "record_id", url_col: str = "url",
     same = F.when(F.col("etag").isNotNull(), F.col("etag").eqNullSafe(F.col("found.etag"))).when(F.col("modified").isNotNull(), F.col("modified").eqNullSafe(F.col("found.modified")))
     status = F.when(F.col("full"), "full").when(F.col("found").isNull(), "missing").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
     got = got.select("id", "url_key", status.alias("status"), F.when(status.isin("resolved", "unvalidated"), F.col("found.id")).alias("resolved_id"))
-    responses = base.where("full").select(F.col("id").alias("resolved_id"), F.col("headers").alias("stored"), F.col("payload").alias("body"))
-    out = got.join(base.select("id", "full", "headers", "payload"), "id").join(responses, "resolved_id", "left")
+    # Full responses pass straight through; their payloads are shuffled once, for the revisits that resolve to them.
+    whole = base.where("full").select(F.col("id").alias(id_col), canonical(F.col("url")).alias("url_key"), F.lit("full").alias("status"), F.lit(None).cast(base.schema["id"].dataType).alias("resolved_id"), "headers", "payload")
+    responses = base.where("full").select(F.col("id").alias("resolved_id"), F.col("headers").alias("stored"), "payload")
+    asked = got.where("status <> 'full'").join(base.where("not full").select("id", "headers"), "id").join(responses, "resolved_id", "left")
     fresh = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)
-    return out.select(F.col("id").alias(id_col), "url_key", "status", "resolved_id", F.when(F.col("resolved_id").isNotNull(), merged).otherwise(F.col("headers")).alias("headers"), F.when(F.col("full"), F.col("payload")).otherwise(F.col("body")).alias("payload"))
+    asked = asked.select(F.col("id").alias(id_col), "url_key", "status", "resolved_id", F.when(F.col("resolved_id").isNotNull(), merged).otherwise(F.col("headers")).alias("headers"), "payload")
+    return whole.unionByName(asked)
