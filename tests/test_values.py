@@ -35,7 +35,7 @@ def test_hash_feature(spark):
 
 
 def test_instruction_tokens(spark):
-    lines = ["; only a comment", "loc_1:", ".text", "push rbp", "mov eax, [rbp-8] ; load", "nop", "call _memcpy", "call sub_40", "call eax", "call strange", "jmp short loc_2", "jz loc_3", "jecxz loc_4", "setz al", "cmovz eax, ebx", "cmp eax, 5", "test eax, eax", "retn", "call helper", "lea rdi, aHello"]
+    lines = ["; only a comment", "loc_1:", ".text", "push rbp", "mov eax, [rbp-8] ; load", "nop", "call _memcpy", "call sub_40", "call eax", "call strange", "jmp short loc_2", "jz loc_3", "jecxz loc_4", "setz al", "cmovz eax, ebx", "cmp eax, 5", "test eax, eax", "retn", "call helper", "lea edi, aHello"]
     code = spark.createDataFrame([(1, "f", "\n".join(lines))], "item_id long, func string, disasm string")
     got = exprs.insn_tokens(code, spark.createDataFrame([(1, "memcpy")], "item_id long, api string"), spark.createDataFrame([(1, "helper")], "item_id long, name string"))
     tokens = [r.token for r in got.orderBy("pos").collect()]
