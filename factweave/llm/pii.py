@@ -3,7 +3,7 @@
 Base spans are found by pattern. A term near a span is judged by how much of the entity's information it gives
 away: PMI(entity; term) / IC(entity), from document counts over the whole corpus. The share is 1 for a
 term seen only with that entity. Terms whose pair has support in several different texts and whose share reaches
-a threshold are generalised to their kind, or, beyond a second threshold, removed.
+a threshold are generalised to their kind, or, beyond a second threshold, removed, wherever they occur in any text.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ LEAST_TEXTS = 3
 GENERALISE_AT = 0.85
 REMOVE_AT = 0.97
 LONGEST_TERM = 64
+#: Bytes of keys that are broadcast at most.
+SENT_BYTES = 16 << 20
 
 #: What is no part of a term: ASCII white space and punctuation; the same in Java and Python.
 NO_TERM = r"\x20\x09-\x0D\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E"
@@ -102,6 +104,8 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())]))
 _NEAR = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
+_TERMS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("removed", T.BooleanType())]))
+
 
 def find_base(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds base (sorted array of start, kind, end) and near (terms about them) to every row."""
@@ -145,6 +149,53 @@ def disclosures(found: DataFrame, texts: DataFrame, n_rows: int, least_texts: in
     return both.where(share >= generalise_at).select("entity", "term", (share >= remove_at).alias("removed"))
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """``keys`` (kept), to be broadcast while their bytes are few; else the join is Spark's, which splits hot keys."""
+    n = keys.agg(F.sum(sum(F.octet_length(c) if t == "string" else F.lit(8) for c, t in keys.dtypes))).first()[0]
+    return F.broadcast(keys) if (n or 0) <= SENT_BYTES else keys
+
+
+def _all_terms(text):
+    """The different terms of a whole text, an array column; there may be an empty one."""
+    return F.array_distinct(F.split(F.coalesce(text, F.lit("")), f"[{NO_TERM}]+"))
+
+
+def outside(text: str, base: list[tuple[int, int, int]]):
+    """The matches of all terms of the text that touch no base span, in order."""
+    spans, k = sorted((a, b) for a, _, b in base), 0
+    reach = 0  # the furthest end of the spans that begin before the term's end
+    for m in _TERM.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][1])
+            k += 1
+        if reach <= m.start():
+            yield m
+
+
+def mark(rows: DataFrame, revealing: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_key, terms) of each text that holds a revealing term, whether it holds the entity or not.
+
+    ``rows``: text_key and text of all rows; terms: start, end and removed of every occurrence outside base
+    spans. The share is corpus-wide, so a term that any entity's share removes goes from every text.
+    """
+    told = keep(revealing.groupBy("term").agg(F.max("removed").alias("removed")), "pii-told")
+    exploded = rows.select("text_key", F.explode(_all_terms(col(text_col))).alias("term"))
+    hits = exploded.join(_sent(told), "term").groupBy("text_key").agg(F.collect_set(F.struct("term", "removed")).alias("__told"))
+    hits = keep(hits, "pii-hits")
+    # Only texts with a hit are sent on, each once.
+    texts = rows.select("text_key", col(text_col).alias("__text")).join(_sent(hits.select("text_key")), "text_key", "left_semi").dropDuplicates(["text_key"])
+
+    def make():
+        def one(text, told):
+            removed = {x["term"]: x["removed"] for x in told}
+            return [{"start": m.start(), "end": m.end(), "removed": removed[m.group()]} for m in outside(text, base_spans(text)) if m.group() in removed]
+
+        return lambda cols: [[one(*x) for x in zip(*cols, strict=True)]]
+
+    marked = extend_rows(texts.join(hits, "text_key"), ["__text", "__told"], [T.StructField("terms", _TERMS)], make)
+    return marked.select("text_key", "terms").where(F.size("terms") > 0)
+
+
 def find(df: DataFrame, text_col: str = "text", least_texts: int = LEAST_TEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> tuple[DataFrame, DataFrame]:
     """Base spans of all rows, and the disclosing terms' spans of each text that has any.
 
@@ -155,10 +206,7 @@ def find(df: DataFrame, text_col: str = "text", least_texts: int = LEAST_TEXTS,
     based = keep(find_base(keyed, text_col).drop(text_col), "pii-base")
     found = based.where(F.size("near") > 0).select("text_key", "near")
     revealing = keep(disclosures(found, df.select(col(text_col)), based.count(), least_texts, generalise_at, remove_at), "pii-revealing")
-    near = found.dropDuplicates(["text_key"]).select("text_key", F.explode("near").alias("x")).select("text_key", "x.*")
-    hits = near.join(revealing, ["entity", "term"]).groupBy("text_key", "start", "end").agg(F.max("removed").alias("removed"))
-    terms = hits.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-    return based, keep(terms, "pii-terms")
+    return based, keep(mark(keyed.select("text_key", col(text_col)), revealing, text_col), "pii-terms")
 
 
 def spans(df: DataFrame, text_col: str = "text", **how) -> DataFrame:

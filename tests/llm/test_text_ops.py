@@ -94,6 +94,15 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert pii.spans(docs(spark, [])).count() == 0 and pii.sanitise(docs(spark, [])).count() == 0
 
 
+def test_revealing_terms_go_from_whole_texts_and_from_texts_without_the_entity(spark):
+    fill = " ".join(f"w{k}" for k in range(400))
+    told = [f"Zanzibar x.y@corp.example.com Zanzibar {w} {fill} (Zanzibar)" for w in "abcdefgh"]
+    plain = [f"{fill} {w} only Zanzibar is named" for w in "ij"] + [f"{fill} v{k} nothing" for k in range(60)]
+    clean = [r.text for r in pii.sanitise(docs(spark, told + plain)).orderBy("doc_id").collect()]
+    assert not any("Zanzibar" in t for t in clean) and clean[10:] == plain[2:]
+    assert all("w399" in t for t in clean)  # what every text holds reveals nothing
+
+
 def test_rule_counts_equal_brute_force(spark):
     texts = [None, "", " \n\t ", "a b c d e a b c d e f", "x\ny\nx\n\n \nx", "#a *b $$ <c>", "日本 é 🙂 " * 8, "la " * 5000, "one two three four"]
     random.seed(5)
