@@ -1,7 +1,7 @@
 """Personal data: base patterns, then information-theoretic sanitisation of the terms that reveal them.
 
-Base spans are found by pattern. A term near a span is judged by how much of the entity's information it gives
-away: PMI(entity; term) / IC(entity), from document counts over the whole corpus. The share is 1 for a
+Base spans are found by pattern. Every term of a text that holds an entity is judged by how much of the entity's
+information it gives away: PMI(entity; term) / IC(entity), from document counts over the whole corpus. The share is 1 for a
 term seen only with that entity. Terms whose pair has support in several different texts and whose share reaches
 a threshold are generalised to their kind, or, beyond a second threshold, removed, wherever they occur in any text.
 """
@@ -17,14 +17,10 @@ from pyspark.sql import types as T
 from .common import col, extend_rows, keep
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Terms on either side of a span that are weighed.
-NEAR_TERMS = 8
-NEAR_CHARS = 256
 #: Different texts that must hold the pair, and the shares from which a term is generalised and removed.
 LEAST_TEXTS = 3
 GENERALISE_AT = 0.85
 REMOVE_AT = 0.97
-LONGEST_TERM = 64
 #: Bytes of keys that are broadcast at most.
 SENT_BYTES = 16 << 20
 
@@ -87,66 +83,69 @@ def entity_of(text: str, kind: int, start: int, end: int) -> str:
     return f"{KINDS[kind]}:" + (value.lower() if kind < 2 else re.sub("[^0-9]", "", value))
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The terms about each span that lie outside all base spans: entity, term, start, end."""
-    out = []
-    for start, kind, end in spans:
-        entity = entity_of(text, kind, start, end)
-        low, high = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-        left = [m for m in _TERM.finditer(text, low, start) if m.start() > low or low == 0]
-        right = [m for m in _TERM.finditer(text, end, high) if m.end() < high or high == len(text)]
-        for m in left[-NEAR_TERMS:] + right[:NEAR_TERMS]:
-            if 2 <= m.end() - m.start() <= LONGEST_TERM and not any(a < m.end() and m.start() < b for a, _, b in spans):
-                out.append({"entity": entity, "term": m.group(), "start": m.start(), "end": m.end()})
-    return out
-
-
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())]))
-_NEAR = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-
 _TERMS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("removed", T.BooleanType())]))
 
 
 def find_base(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds base (sorted array of start, kind, end) and near (terms about them) to every row."""
+    """Adds base (sorted array of start, kind, end) and, for texts with any, entities, outer and inner.
+
+    All are different values: outer the terms that occur outside base spans, inner those that occur in them only.
+    """
 
     def make():
-        def fn(cols):
-            bases, nears = [], []
-            for text in cols[0]:
-                spans = base_spans(text or "")
-                bases.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-                nears.append(near_terms(text, spans) if spans else [])
-            return [bases, nears]
+        def one(text):
+            spans = base_spans(text)
+            if not spans:
+                return [], [], [], []
+            outer = {m.group() for m in outside(text, spans)}
+            inner = set(_TERM.findall(text)) - outer
+            entities = {entity_of(text, k, a, b) for a, k, b in spans}
+            return [{"start": a, "kind": k, "end": b} for a, k, b in spans], sorted(entities), sorted(outer), sorted(inner)
 
-        return fn
+        return lambda cols: list(zip(*(one(text or "") for text in cols[0]), strict=True)) or [[], [], [], []]
 
-    return extend_rows(df, [text_col], [T.StructField("base", _SPANS), T.StructField("near", _NEAR)], make)
+    names = T.ArrayType(T.StringType())
+    return extend_rows(df, [text_col], [T.StructField("base", _SPANS), *(T.StructField(x, names) for x in ("entities", "outer", "inner"))], make)
 
 
 def disclosures(found: DataFrame, texts: DataFrame, n_rows: int, least_texts: int, generalise_at: float, remove_at: float) -> DataFrame:
     """(entity, term, removed) of the pairs whose term gives the entity away.
 
-    ``found``: text_key and near of every row that has base spans; ``texts``: one column, all texts.
+    ``found``: text_key, entities, outer and inner of every row that has base spans; ``texts``: one column, all
+    texts. All counts are of documents with the term anywhere outside base spans. Entities and terms that
+    can't reach the support or the share, whatever their pair's count, are left out before pairs are made.
     """
     # One row per different text with its number of documents: groups of copies are summed before they meet.
-    per_text = found.groupBy("text_key").agg(F.count(F.lit(1)).alias("m"), F.first("near").alias("near"))
+    per_text = found.groupBy("text_key").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("entities", "outer", "inner")])
     per_text = keep(per_text, "pii-texts")
-    pairs = per_text.select("m", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.sum("m").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= least_texts)
-    pairs = keep(pairs, "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(True).alias("removed"))
-    entities = per_text.select("m", F.explode(F.array_distinct(F.col("near.entity"))).alias("entity")).groupBy("entity").agg(F.sum("m").alias("n_entity"))
-    terms = pairs.select("term").distinct()
-    words = F.array_distinct(F.split(F.coalesce(texts[0], F.lit("")), f"[{NO_TERM}]+"))
-    counts = texts.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    both = pairs.join(entities, "entity").join(counts, "term")
-    pmi = F.log2(F.col("n_both") * F.lit(float(n_rows)) / (F.col("n_entity") * F.col("n_term")))
-    content = F.log2(F.lit(float(n_rows)) / F.col("n_entity"))
+    holders = per_text.select("text_key", "m", F.explode("entities").alias("entity"))
+    entities = holders.groupBy("entity").agg(F.sum("m").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"))
     # An entity that every document holds has no content to give away.
-    share = F.when(content > 0, pmi / content)
-    return both.where(share >= generalise_at).select("entity", "term", (share >= remove_at).alias("removed"))
+    entities = keep(entities.where((F.col("n_texts") >= least_texts) & (F.col("n_entity") < n_rows)).drop("n_texts"), "pii-entities")
+    most = entities.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return entities.select("entity", F.lit("").alias("term"), F.lit(True).alias("removed"))
+
+    def can_reach(n_entity):
+        """The most documents a term can have and reach the share where each of the entity's has it, and a bit more."""
+        return F.lit(1.000001) * F.pow(F.lit(float(n_rows)), F.lit(1 - generalise_at)) * F.pow(n_entity.cast("double"), F.lit(generalise_at))
+
+    held = keep(holders.join(_sent(entities), "entity").select("text_key", "entity", "n_entity"), "pii-held")
+    keys = keep(held.select("text_key").distinct(), "pii-keys")
+    told = per_text.join(_sent(keys), "text_key", "left_semi").select("text_key", "m", F.explode("outer").alias("term"))
+    terms = told.groupBy("term").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("m").alias("n")).where((F.col("n_texts") >= least_texts) & (F.col("n") <= can_reach(F.lit(most)))).select("term")
+    terms = _sent(keep(terms, "pii-terms-held"))
+    # Documents that hold the term at all, less those that hold it in base spans only.
+    every = texts.select(F.explode(_all_terms(texts[0])).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    within = per_text.select("m", F.explode("inner").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg((-F.sum("m")).alias("n"))
+    counts = every.unionByName(within).groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") <= can_reach(F.lit(most)))
+    counts = _sent(keep(counts, "pii-counts"))
+    pairs = told.join(counts, "term").join(held, "text_key").where(F.col("n_term") <= can_reach(F.col("n_entity")))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_both"), F.count(F.lit(1)).alias("n_texts"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pmi = F.log2(F.col("n_both") * F.lit(float(n_rows)) / (F.col("n_entity") * F.col("n_term")))
+    share = pmi / F.log2(F.lit(float(n_rows)) / F.col("n_entity"))
+    return pairs.where((F.col("n_texts") >= least_texts) & (share >= generalise_at)).select("entity", "term", (share >= remove_at).alias("removed"))
 
 
 def _sent(keys: DataFrame) -> DataFrame:
@@ -199,24 +198,24 @@ def mark(rows: DataFrame, revealing: DataFrame, text_col: str = "text") -> DataF
 def find(df: DataFrame, text_col: str = "text", least_texts: int = LEAST_TEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> tuple[DataFrame, DataFrame]:
     """Base spans of all rows, and the disclosing terms' spans of each text that has any.
 
-    Gives (``df`` with text_key, base and near for its text column; table of text_key and terms, an array of
+    Gives (``df`` with text_key and base for its text column; table of text_key and terms, an array of
     start, end, removed). Terms depend on a text and the corpus, so rows of equal texts share them.
     """
     keyed = df.withColumn("text_key", F.md5(F.coalesce(col(text_col), F.lit(""))))
     based = keep(find_base(keyed, text_col).drop(text_col), "pii-base")
-    found = based.where(F.size("near") > 0).select("text_key", "near")
+    found = based.where(F.size("base") > 0).select("text_key", "entities", "outer", "inner")
     revealing = keep(disclosures(found, df.select(col(text_col)), based.count(), least_texts, generalise_at, remove_at), "pii-revealing")
-    return based, keep(mark(keyed.select("text_key", col(text_col)), revealing, text_col), "pii-terms")
+    return based.drop("entities", "outer", "inner"), keep(mark(keyed.select("text_key", col(text_col)), revealing, text_col), "pii-terms")
 
 
 def spans(df: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """Every row, its text left out, with base and terms: all spans found in its whole text.
 
     Null and empty texts have none. Repeated rows each count as a document and get equal spans. Columns
-    named base, near, terms or text_key are replaced. An empty table gives no rows.
+    named base, terms, entities, outer, inner or text_key are replaced. An empty table gives no rows.
     """
     based, terms = find(df, text_col, **how)
-    return based.drop("near").join(terms, "text_key", "left").drop("text_key")
+    return based.join(terms, "text_key", "left").drop("text_key")
 
 
 def spelled(base, terms=None):

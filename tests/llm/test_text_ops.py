@@ -103,6 +103,22 @@ def test_revealing_terms_go_from_whole_texts_and_from_texts_without_the_entity(s
     assert all("w399" in t for t in clean)  # what every text holds reveals nothing
 
 
+def test_terms_of_the_whole_text_are_weighed_and_counted_in_one_scope(spark):
+    fill = [" ".join(f"{x}{k}" for k in range(200)) for x in "vw"]
+    long = "Q" * 100
+    told = [f"Zanzibar {long} Q {fill[0]} {w} {fill[1]} x.y@corp.example.com" for w in "abcdefgh"]
+    # near in half of its documents, and its word in another's address only
+    half = [f"{'Kiosk' if k % 2 else ''} {fill[0]} {'' if k % 2 else 'Kiosk'} q{k}@kiosk.example.com 10.1.2.3 {fill[1]} Kiosk@b.example.com" for k in range(8)]
+    plain = [" ".join(fill) + f" z{k}" for k in range(60)] + ["write to Kiosk@b.example.com"] * 60
+    df = docs(spark, told + half + plain)
+    found = pii.find_base(df.withColumn("text_key", pii.F.md5("text"))).where("size(base) > 0")
+    got = {(r.entity, r.term): r.removed for r in pii.disclosures(found, df.select("text"), df.count(), 3, 0.85, 0.97).collect()}
+    assert {t for e, t in got if e.startswith("email:x.y")} == {"Zanzibar", long, "Q"}
+    assert got["ip:10.1.2.3", "Kiosk"]  # always with the entity, whatever is between: the share is 1
+    clean = [r.text for r in pii.sanitise(df).orderBy("doc_id").collect()]
+    assert not any("Zanzibar" in t or long in t or "Kiosk" in t for t in clean) and all("w199" in t for t in clean[:76])
+
+
 def test_rule_counts_equal_brute_force(spark):
     texts = [None, "", " \n\t ", "a b c d e a b c d e f", "x\ny\nx\n\n \nx", "#a *b $$ <c>", "日本 é 🙂 " * 8, "la " * 5000, "one two three four"]
     random.seed(5)
