@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, extend_rows
-from .labelled import SAMPLE_ROWS, WordParts, labelled_sample
+from .common import col, extend_rows, keep
+from .labelled import SAMPLE_ROWS, WordParts, held_out, labelled_sample
 
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 GAP = max(WIDTHS) - 1
@@ -175,28 +175,57 @@ def train(docs: list[np.ndarray], labels: np.ndarray, parts: np.ndarray, seed: i
     return m
 
 
-def calibrate(m: Model, got: np.ndarray, labels: np.ndarray, langs: list) -> None:
-    """Per language the threshold of the best F1 on rows not trained on, nearest the default among equals."""
+#: The thresholds a language can have.
+GRID = [round(k / 20, 2) for k in range(2, 19)]
+#: Labelled ids that are broadcast at most.
+SENT_IDS = 1 << 20
 
-    def best(pick: np.ndarray) -> float:
-        s, y = got[pick], labels[pick]
 
-        def f1(t: float) -> float:
-            hit = (s >= t) & (y == 1)
-            return 2 * hit.sum() / max(1, (s >= t).sum() + y.sum())
+def calibrate(m: Model, counts: list[tuple]) -> None:
+    """Per language the threshold of the best F1 on rows not trained on, nearest the default among equals.
 
-        return max((round(k / 20, 2) for k in range(2, 19)), key=lambda t: (round(f1(t), 6), -abs(t - THRESHOLD)))
+    ``counts``: language, number of the grid's thresholds that a score reaches, toxic rows, all rows.
+    """
 
-    every = np.ones(len(labels), dtype=bool)
-    m.default = best(every) if labels.sum() >= LEAST_POSITIVES else THRESHOLD
-    for lang in {x for x in langs if x is not None}:
-        pick = np.asarray([x == lang for x in langs])
-        if labels[pick].sum() >= LEAST_POSITIVES:
-            m.thresholds[lang] = best(pick)
+    def best(rows: list[tuple]) -> float | None:
+        toxic = sum(r[2] for r in rows)
+
+        def f1(k: int) -> float:
+            hit, flagged = (sum(r[x] for r in rows if r[1] > k) for x in (2, 3))
+            return 2 * hit / max(1, flagged + toxic)
+
+        return GRID[max(range(len(GRID)), key=lambda k: (round(f1(k), 6), -abs(GRID[k] - THRESHOLD)))] if toxic >= LEAST_POSITIVES else None
+
+    by_lang: dict = {}
+    for row in counts:
+        by_lang.setdefault(row[0], []).append(row)
+    m.default = best(counts) or THRESHOLD
+    m.thresholds = {lang: t for lang, rows in by_lang.items() if lang is not None and (t := best(rows))}
+
+
+def calibration_counts(docs: DataFrame, labels: DataFrame, m: Model, trained: list[int], label: str, id_col: str, text_col: str, lang_col: str) -> list[tuple]:
+    """(language, thresholds reached, toxic rows, rows) of all labelled rows outside the held-out fold and the
+    trained ids' hashes. Scored where the rows lie; languages too rare for a threshold count together, as null."""
+    spark = docs.sparkSession
+    known = labels.select(col(id_col).alias("__id"), col(label).cast("int").alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isNotNull() & ~held_out(F.col("__id")))
+    seen = spark.createDataFrame([(h,) for h in trained], "h long")
+    known = known.join(F.broadcast(seen), F.xxhash64("__id") == F.col("h"), "left_anti").groupBy("__id").agg(F.min("__label").alias("__label"))
+    known = keep(known, "toxicity-labels")
+    known = F.broadcast(known) if known.count() <= SENT_IDS else known
+    texts = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("__doc"), col(text_col).alias("__text"), col(lang_col).alias("lang"))
+    texts = texts.join(known, F.col("__doc") == F.col("__id")).select("lang", "__label", "__text")
+    scored = score(texts, m, "__text", None)
+    reached = sum((F.col("score") >= t).cast("int") for t in GRID)
+    counts = scored.select("lang", reached.alias("reached"), (F.col("__label") != 0).cast("long").alias("toxic")).groupBy("lang", "reached").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    counts = keep(counts, "toxicity-counts")
+    own = counts.groupBy("lang").agg(F.sum("toxic").alias("all")).where(F.col("lang").isNotNull() & (F.col("all") >= LEAST_POSITIVES)).select(F.col("lang").alias("__own"))
+    named = counts.join(own, F.col("lang") == F.col("__own"), "left").groupBy("__own", "reached").agg(F.sum("toxic"), F.sum("n"))
+    return [tuple(r) for r in named.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``rows`` labelled rows outside the held-out fold; every fifth by hash only calibrates.
+    """Train on at most ``rows`` labelled rows outside the held-out fold, without every fifth by hash; all
+    other labelled rows outside the fold calibrate the thresholds.
 
     The language serves the thresholds alone; no score depends on it. Without labelled rows of both
     kinds the model scores by its prior.
@@ -209,9 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     y = np.asarray([1 if r[1] else 0 for r in sample], dtype=np.int64)
     apart = np.asarray([r[0] % 5 == 0 for r in sample], dtype=bool)
     m = train([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart], parts)
-    if apart.any():
-        got = scores(m, word_vectors(m, parts), [t for t, a in zip(texts, apart, strict=True) if a])
-        calibrate(m, got, y[apart], [r[3] for r, a in zip(sample, apart, strict=True) if a])
+    trained = [r[0] for r, a in zip(sample, apart, strict=True) if not a]
+    calibrate(m, calibration_counts(docs, labels, m, trained, label, id_col, text_col, lang_col))
     return m
 
 

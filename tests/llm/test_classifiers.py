@@ -46,6 +46,26 @@ def test_toxicity_learns_word_beginnings(corpus):
     assert got[900].score == got[901].score and got[902].rejected  # a whole long text is scored, piece by piece
 
 
+def test_thresholds_cover_all_labelled_rows(corpus):
+    docs, labels, truth = corpus
+    model = toxicity.fit(docs, labels, rows=60)  # a fifth of 60 rows has too few toxic ones for any language
+    sample = labelled.labelled_sample(docs, labels, "toxic", ("lang",), rows=60)
+    trained = [r[0] for r in sample if r[0] % 5]
+    counts = toxicity.calibration_counts(docs, labels, model, trained, "toxic", "doc_id", "text", "lang")
+    fold = [i for i in truth if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sum(r[3] for r in counts) == len(fold) - len(trained) > 500
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    ids = {r.id: r.h for r in labels.selectExpr("doc_id id", "xxhash64(doc_id) h").collect()}
+    apart = [i for i in fold if ids[i] not in trained and i % 2]
+
+    def f1(t):
+        flagged = [i for i in apart if got[i].score >= t]
+        return round(2 * sum(truth[i][2] for i in flagged) / max(1, len(flagged) + sum(truth[i][2] for i in apart)), 6)
+
+    want = max(toxicity.GRID, key=lambda t: (f1(t), -abs(t - toxicity.THRESHOLD)))
+    assert model.thresholds == {"xx": want}
+
+
 def test_quality_fm_learns(corpus):
     docs, labels, truth = corpus
     model = quality_fm.fit(docs, labels, meta_cols=("n_chars",))
