@@ -37,16 +37,15 @@ def words_of(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) is one of our own set.
+    Only a local session (a test) that names none gets one of our own; on a cluster that would be a folder of one machine.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factweave-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factweave-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 class Kept:

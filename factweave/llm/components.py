@@ -20,7 +20,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # Done when every upper node has one edge and no lower node is an upper one: stars about their least node.
         uppers = now.df.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        if now.df.join(uppers.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and uppers.where("n > 1").isEmpty():
+        open_ = now.df.join(uppers.select(F.col("u").alias("v")), "v", "left_semi").select("v").unionByName(uppers.where("n > 1").select(F.col("u").alias("v")))
+        if open_.isEmpty():
             ends = now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return ends.unionByName(ends.select(F.col("root").alias("node"), "root").distinct())
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -16,7 +16,7 @@ into all its pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,12 @@ FREQUENT = 1 << 18
 #: A shingle counts as frequent in a block of shingles from so many texts on.
 LEAST_COUNT = 4
 COUNT_BLOCK = 2_000_000
-#: Lists of more sets go by leaders first; leaders a round, and rounds.
-LONG_LIST, LEADERS, ROUNDS = 8, 2, 2
+#: Lists of more sets go by leaders first; leaders of a list.
+LONG_LIST, LEADERS = 8, 2
+#: Sets that are compared with one leader in one task.
+MEMBERS = 512
+#: Leaders a set's bounds are taken from at most.
+BOUNDS_FROM = 16
 #: Sets of a long list that are compared at once.
 CHUNK = 512
 CHUNK_ENTRIES = 100_000
@@ -176,14 +180,73 @@ def _needed(percent: int, a, b):
 
 
 def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, gram: int, tag: str) -> DataFrame:
-    """(a, a_size, b, b_size, overlap) of pairs, counted on the whole sets."""
+    """(a, a_size, b, b_size, overlap) of pairs, counted on the whole sets.
+
+    The pairs of an ``a`` are dealt out ``MEMBERS`` at a time: its set goes once to each of these groups, however many
+    pairs it has, and meets the sets of its partners there one by one.
+    """
     ends = pairs.select(F.col("a").alias("set_id"), F.col("a_size").alias("size")).unionByName(pairs.select(F.col("b").alias("set_id"), F.col("b_size").alias("size"))).distinct()
     wanted = classes.join(ends, ["set_id", "size"], "left_semi").select(F.col("rep").alias("doc"), "set_id", "size")
     sets = keep(_sets(docs, wanted, id_col, text_col, gram), f"jac-sets-{tag}")
-    left = sets.select(F.col("set_id").alias("a"), F.col("size").alias("a_size"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("size").alias("b_size"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "a_size", "b", "b_size").join(left, ["a", "a_size"]).join(right, ["b", "b_size"])
-    return keep(both.select("a", "a_size", "b", "b_size", F.size(F.array_intersect("ta", "tb")).cast("long").alias("overlap")), f"jac-overlap-{tag}")
+    groups = keep(pairs.groupBy("a", "a_size").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("groups")), f"jac-groups-{tag}")
+    # A partner that many share can be a hot key of this join, which Spark splits.
+    partners = pairs.select("a", "a_size", "b", "b_size").join(groups, ["a", "a_size"]).join(sets.select(F.col("set_id").alias("b"), F.col("size").alias("b_size"), "tokens"), ["b", "b_size"])
+    partners = partners.select("a", "a_size", F.pmod(F.xxhash64("b", "b_size"), F.col("groups")).cast("int").alias("grp"), "b", "b_size", "tokens")
+    firsts = groups.join(sets.select(F.col("set_id").alias("a"), F.col("size").alias("a_size"), "tokens"), ["a", "a_size"])
+    firsts = firsts.select("a", "a_size", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("int").alias("b_size"), "tokens")
+    dealt = firsts.unionByName(partners).repartition("a", "a_size", "grp").sortWithinPartitions("a", "a_size", "grp", F.col("b").asc_nulls_first())
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("a_size", T.IntegerType()), T.StructField("b", T.LongType()), T.StructField("b_size", T.IntegerType()), T.StructField("overlap", T.LongType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        mine = None
+        for batch in batches:
+            out = []
+            ids, sizes, bs, b_sizes = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+            lists = batch.column(5)
+            ends, values = np.asarray(lists.offsets), np.asarray(lists.values)
+            for k, b in enumerate(bs):
+                tokens = values[ends[k] : ends[k + 1]]
+                if b is None:
+                    mine = tokens.copy()
+                    continue
+                # Both ascend without repeats: where does each of the fewer lie among the more?
+                few, many = (mine, tokens) if len(mine) < len(tokens) else (tokens, mine)
+                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                out.append((ids[k], sizes[k], b, b_sizes[k], int((many[at] == few).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[f.name for f in schema])
+
+    return keep(dealt.select("a", "a_size", "grp", "b", "b_size", "tokens").mapInArrow(run, schema), f"jac-overlap-{tag}")
+
+
+def _stars(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, a_size, b, b_size) to compare first: the sets of long lists, b, with their lists' leaders, a.
+
+    Only a way to find most links early: pairs passed over here come up again among the lists.
+    """
+    long = lists.where(F.col("n_list") > LONG_LIST)
+    # Sets that lie in many long lists differ little from their neighbours: the best leaders.
+    central = long.groupBy("set_id").agg(F.count(F.lit(1)).alias("score"))
+    rank = Window.partitionBy("token").orderBy(F.desc("score"), "set_id")
+    lead = long.join(central, "set_id").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= LEADERS)
+    lead = lead.select("token", F.col("set_id").alias("a"), F.col("size").alias("a_size"))
+    star = long.select("token", F.col("set_id").alias("b"), F.col("size").alias("b_size")).join(lead, "token").where("a <> b")
+    star = star.groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("c"))
+    least = F.least("a_size", "b_size")
+    return star.where((least * 100 >= F.greatest("a_size", "b_size") * percent) & (F.col("c") * 4 >= (100 - percent) * least / 100)).drop("c")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(set_id, root): equal roots are joined by links, though not all that are joined have equal ones.
+
+    A set's root is the least set linked to its least neighbour: two steps, whatever the links.
+    """
+    both = links.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
+    near = keep(both.groupBy("set_id").agg(F.least(F.min("other"), F.col("set_id")).alias("root")), "jac-near")
+    far = near.select(F.col("set_id").alias("root"), F.col("root").alias("far"))
+    return near.join(far, "root").select("set_id", F.col("far").alias("root"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -208,48 +271,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
     tokens, counts = np.asarray(rows["token"], dtype=np.int64), np.asarray(rows["n"], dtype=np.int64)
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], counts[order]))
+    del rows, tokens, counts, order
 
     # Lists with two different sets at least; most shingles are in one set only.
-    from pyspark.sql import Window
-
     by_token = Window.partitionBy("token")
     entries = index(docs, text_col, gram, percent, frequent)
     entries = entries.withColumn("lo", F.min("set_id").over(by_token)).withColumn("hi", F.max("set_id").over(by_token)).where("lo <> hi").drop("lo", "hi").distinct()
     lists = keep(entries, "jac-entries")
+    frequent.unpersist()
     lists = keep(lists.join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("n_list")), "token"), "jac-lists")
 
-    known = None  # (a leader, b, overlap) so far
-    comps = None  # (set_id, root) so far
-    links = None
-    for r in range(ROUNDS):
-        long = lists.where(F.col("n_list") > LONG_LIST)
-        if comps is not None:
-            long = long.join(comps, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-            mixed = long.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-            long = long.join(mixed, "token", "left_semi")
-        else:
-            long = long.withColumn("root", F.col("set_id"))
-        # Sets that lie in many long lists differ little from their neighbours: the best leaders.
-        central = long.groupBy("set_id").agg(F.count(F.lit(1)).alias("score"))
-        rank = Window.partitionBy("token").orderBy(F.desc("score"), "set_id")
-        lead = long.join(central, "set_id").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= LEADERS * (r + 1)).where(F.col("k") > LEADERS * r)
-        lead = lead.select("token", F.struct("set_id", "size", "root").alias("l"))
-        star = long.join(lead, "token").select("set_id", "size", "root", "l").where("l.root <> root")
-        flip = F.col("l.set_id") < F.col("set_id")
-        mine, other = F.struct("set_id", "size"), F.struct("l.set_id", "l.size")
-        star = star.select(F.when(flip, other).otherwise(mine).alias("x"), F.when(flip, mine).otherwise(other).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-        star = star.select(F.col("x.set_id").alias("a"), F.col("x.size").alias("a_size"), F.col("y.set_id").alias("b"), F.col("y.size").alias("b_size"), "c")
-        # Only a way to find most links early: pairs passed over here come up again below.
-        least = F.least("a_size", "b_size")
-        star = star.where((least * 100 >= F.greatest("a_size", "b_size") * percent) & (F.col("c") * 4 >= (100 - percent) * least / 100))
-        star = keep(star, f"jac-star{r}")
-        if star.isEmpty():
-            break
-        got = _overlaps(star, docs, classes, id_col, text_col, gram, f"star{r}")
-        known = got if known is None else known.unionByName(got)
-        fresh = got.where(F.col("overlap") >= _needed(percent, F.col("a_size"), F.col("b_size"))).select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        comps = keep(components(links).withColumnsRenamed({"node": "set_id"}), f"jac-roots{r}")
+    known = links = comps = None  # (a leader, b, overlap), links and roots so far
+    star = keep(_stars(lists, percent), "jac-star")
+    if not star.isEmpty():
+        known = _overlaps(star, docs, classes, id_col, text_col, gram, "star")
+        links = known.where(F.col("overlap") >= _needed(percent, F.col("a_size"), F.col("b_size"))).select("a", "b")
+        comps = keep(_labels(links), "jac-roots")
 
     # Every other pair of sets that share an entry, with the number of entries they share; components are skipped whole.
     per_set = lists.groupBy("set_id").agg(F.count(F.lit(1)).cast("int").alias("n_set"))
@@ -257,7 +294,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
         per_set = per_set.join(comps, "set_id", "left")
     root = F.col("set_id") if comps is None else F.coalesce("root", "set_id")
     entries = keep(lists.join(per_set.withColumn("root", root), "set_id"), "jac-rooted")
-    pairs = _short_pairs(entries.where(F.col("n_list") <= LONG_LIST), percent).unionByName(_long_pairs(entries.where(F.col("n_list") > LONG_LIST), percent))
+    long = entries.where(F.col("n_list") > LONG_LIST)
+    if comps is not None:  # lists of one component have nothing left to say
+        open_lists = long.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+        long = long.join(open_lists, "token", "left_semi")
+    pairs = _short_pairs(entries.where(F.col("n_list") <= LONG_LIST), percent).unionByName(_long_pairs(keep(long, "jac-long"), percent))
     pairs = pairs.groupBy("a", "a_size", "b", "b_size").agg(F.sum("c").alias("c"))
     # One of the two prefixes lies wholly before the other's end: its shingles that are not shared are lost for good.
     need = _needed(percent, F.col("a_size"), F.col("b_size"))
@@ -397,10 +438,8 @@ def _bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     selfs = lambda m: each.select(F.col(m).alias("set_id"), F.struct(F.col(m).alias("l"), F.col(f"{m}_size").cast("long").alias("n"), F.col(f"{m}_size").cast("long").alias("o")).alias("e"))
     # A set met few leaders, but a leader met many sets: only what each set has with those it met as the other end, bounded.
     rows = entry("a", "b").unionByName(entry("b", "a")).unionByName(selfs("a")).unionByName(selfs("b")).distinct()
-    from pyspark.sql import Window
-
     rank = Window.partitionBy("set_id").orderBy(F.col("e.l"))
-    rows = rows.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= 4 * LEADERS * ROUNDS)
+    rows = rows.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= BOUNDS_FROM)
     met = keep(rows.groupBy("set_id").agg(F.collect_list("e").alias("met")), "jac-met")
     both = pairs.join(met.withColumnsRenamed({"set_id": "a", "met": "ma"}), "a", "left").join(met.withColumnsRenamed({"set_id": "b", "met": "mb"}), "b", "left")
     shared = F.flatten(F.transform("ma", lambda x: F.transform(F.filter("mb", lambda y: y["l"] == x["l"]), lambda y: F.struct(x["n"].alias("n"), x["o"].alias("x"), y["o"].alias("y")))))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import extend_rows
-from .labelled import SAMPLE_ROWS, WordIds, labelled_sample
+from .labelled import SAMPLE_ROWS, WordIds, fitted, labelled_sample
 
 BITS, RANK = 17, 6
 EPOCHS, BATCH, RATE = 12, 64, 0.08
@@ -118,10 +118,14 @@ def train(feats: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_meta
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", meta_cols: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``rows`` labelled rows outside the held-out fold; label 1 is good."""
-    sample = labelled_sample(docs, labels, label, tuple(meta_cols), id_col, text_col, rows)
-    ids = WordIds(BITS)
-    feats = [features(r[2], list(r[3:]), ids) for r in sample]
-    return train(feats, np.asarray([1.0 if r[1] else 0.0 for r in sample], dtype=np.float32), len(meta_cols))
+    n_meta = len(meta_cols)
+
+    def of_rows(sample: list[tuple]) -> Model:
+        ids = WordIds(BITS)
+        feats = [features(r[2], list(r[3:]), ids) for r in sample]
+        return train(feats, np.asarray([1.0 if r[1] else 0.0 for r in sample], dtype=np.float32), n_meta)
+
+    return fitted(labelled_sample(docs, labels, label, tuple(meta_cols), id_col, text_col, rows), of_rows)
 
 
 def score(df: DataFrame, model: Model, meta_cols: tuple[str, ...] = (), text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import col, extend_rows, keep
-from .labelled import SAMPLE_ROWS, WordParts, held_out, labelled_sample
+from .labelled import SAMPLE_ROWS, WordParts, fitted, held_out, labelled_sample
 
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 GAP = max(WIDTHS) - 1
@@ -223,6 +223,16 @@ def calibration_counts(docs: DataFrame, labels: DataFrame, m: Model, trained: li
     return [tuple(r) for r in named.collect()]
 
 
+def _fit_rows(sample: list[tuple]) -> tuple[Model, list[int]]:
+    """The model of rows (hash, label, text) without every fifth by hash, and the hashes of those it learned from."""
+    words = WordParts(BITS)
+    words.MOST = 1 << 30  # the sample is bounded
+    rows = [r for r in sample if r[0] % 5]
+    texts = [words.of(r[2].lower().split()) for r in rows]
+    y = np.asarray([1 if r[1] else 0 for r in rows], dtype=np.int64)
+    return train(texts, y, np.asarray(words.parts, dtype=np.int32)), [r[0] for r in rows]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``rows`` labelled rows outside the held-out fold, without every fifth by hash; all
     other labelled rows outside the fold calibrate the thresholds.
@@ -230,15 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     The language serves the thresholds alone; no score depends on it. Without labelled rows of both
     kinds the model scores by its prior.
     """
-    sample = labelled_sample(docs, labels, label, (lang_col,), id_col, text_col, rows)
-    words = WordParts(BITS)
-    words.MOST = 1 << 30  # the sample is bounded
-    texts = [words.of(r[2].lower().split()) for r in sample]
-    parts = np.asarray(words.parts, dtype=np.int32)
-    y = np.asarray([1 if r[1] else 0 for r in sample], dtype=np.int64)
-    apart = np.asarray([r[0] % 5 == 0 for r in sample], dtype=bool)
-    m = train([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart], parts)
-    trained = [r[0] for r, a in zip(sample, apart, strict=True) if not a]
+    sample = labelled_sample(docs, labels, label, (), id_col, text_col, rows)
+    m, trained = fitted(sample, _fit_rows)
     calibrate(m, calibration_counts(docs, labels, m, trained, label, id_col, text_col, lang_col))
     return m
 

@@ -49,7 +49,7 @@ def test_toxicity_learns_word_beginnings(corpus):
 def test_thresholds_cover_all_labelled_rows(corpus):
     docs, labels, truth = corpus
     model = toxicity.fit(docs, labels, rows=60)  # a fifth of 60 rows has too few toxic ones for any language
-    sample = labelled.labelled_sample(docs, labels, "toxic", ("lang",), rows=60)
+    sample = labelled.labelled_sample(docs, labels, "toxic", ("lang",), rows=60).collect()
     trained = [r[0] for r in sample if r[0] % 5]
     counts = toxicity.calibration_counts(docs, labels, model, trained, "toxic", "doc_id", "text", "lang")
     fold = [i for i in truth if zlib.crc32(str(i).encode()) % 4 != 2]
@@ -94,10 +94,30 @@ def test_pieces_pool_like_the_whole(monkeypatch):
     assert np.allclose(whole, toxicity.pooled(m, vectors, docs), atol=1e-5)
 
 
+def test_score_equals_a_plain_convolution():
+    rng = np.random.default_rng(9)
+    m = toxicity.train([], np.zeros(0), np.zeros((1, 4), int))
+    m.out, m.bias, m.out_bias = rng.normal(size=m.out.shape).astype(np.float32), rng.normal(size=m.bias.shape).astype(np.float32), -0.3
+    vectors = rng.normal(size=(60, toxicity.DIM)).astype(np.float32)
+    vectors[0] = 0  # padding
+    docs = [rng.integers(1, 60, n).astype(np.int32) for n in (1, 2, 3, 7, 40)]
+    for d, got in zip(docs, toxicity.scores(m, vectors, docs), strict=True):
+        best, at = [], 0
+        for width in toxicity.WIDTHS:
+            kernel = m.conv[:, at : at + width * toxicity.FILTERS].reshape(toxicity.DIM, width, toxicity.FILTERS)
+            at += width * toxicity.FILTERS
+            padded = np.concatenate([vectors[d], np.zeros((width - 1, toxicity.DIM))])  # every window that starts in the text
+            best += [max(sum(float(padded[p + i] @ kernel[:, i, f]) for i in range(width)) for p in range(len(d))) for f in range(toxicity.FILTERS)]
+        want = 1 / (1 + np.exp(-(np.maximum(np.asarray(best) + m.bias, 0) @ m.out + m.out_bias)))
+        assert abs(got - want) < 1e-5
+
+
 def test_fold_and_sample_bound(corpus):
     docs, labels, truth = corpus
-    got = labelled.labelled_sample(docs, labels, "quality", rows=100)
+    got = labelled.labelled_sample(docs, labels, "quality", rows=100).collect()
     assert 80 <= len(got) <= 100
+    some = labelled.labelled_sample(docs, labels, "quality", rows=100, total=2000).collect()
+    assert sum(len(r[2]) for r in some) <= 2000 and [r[0] for r in some] == [r[0] for r in got][: len(some)] and some
     rows = labels.select("doc_id", labelled.held_out(labels.doc_id).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
