@@ -23,6 +23,8 @@ PIECE = 1 << 15
 EPOCHS, BATCH, RATE = 8, 32, 0.05
 #: The default threshold, and the positives a language needs for its own.
 THRESHOLD, LEAST_POSITIVES = 0.3, 10
+#: The threshold where nothing is known: no score reaches it.
+NEVER = 2.0
 
 
 @dataclass
@@ -223,14 +225,15 @@ def calibration_counts(docs: DataFrame, labels: DataFrame, m: Model, trained: li
     return [tuple(r) for r in named.collect()]
 
 
-def _fit_rows(sample: list[tuple]) -> tuple[Model, list[int]]:
-    """The model of rows (hash, label, text) without every fifth by hash, and the hashes of those it learned from."""
+def _fit_rows(sample: list[tuple]) -> tuple[Model, list[int], bool]:
+    """The model of rows (hash, label, text) without every fifth by hash, the hashes of those it learned from, and
+    whether both kinds were among them."""
     words = WordParts(BITS)
     words.MOST = 1 << 30  # the sample is bounded
     rows = [r for r in sample if r[0] % 5]
     texts = [words.of(r[2].lower().split()) for r in rows]
     y = np.asarray([1 if r[1] else 0 for r in rows], dtype=np.int64)
-    return train(texts, y, np.asarray(words.parts, dtype=np.int32)), [r[0] for r in rows]
+    return train(texts, y, np.asarray(words.parts, dtype=np.int32)), [r[0] for r in rows], bool(0 < y.sum() < len(y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
@@ -238,11 +241,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     other labelled rows outside the fold calibrate the thresholds.
 
     The language serves the thresholds alone; no score depends on it. Without labelled rows of both
-    kinds the model scores by its prior.
+    kinds the model scores by its prior and rejects nothing.
     """
     sample = labelled_sample(docs, labels, label, (), id_col, text_col, rows)
-    m, trained = fitted(sample, _fit_rows)
-    calibrate(m, calibration_counts(docs, labels, m, trained, label, id_col, text_col, lang_col))
+    m, trained, both = fitted(sample, _fit_rows)
+    if both:
+        calibrate(m, calibration_counts(docs, labels, m, trained, label, id_col, text_col, lang_col))
+    else:
+        m.default = NEVER
     return m
 
 

@@ -34,6 +34,25 @@ def test_stages_and_run(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "pii", "mixing", "byte_bpe"]
 
 
+def test_stages_take_empty_tables_long_texts_nulls_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, copies int, component_id string, base string, threshold int"
+    extra = (0.5, 7, "c", "b", 1)
+    long = " ".join(f"w{k}" for k in range(60_000)) + " write to a.b@c.org"
+    rows = [(1, long, "en", "s", len(long), *extra), (2, None, None, None, None, *[None] * 5), (None, "no id here at all", "en", "s", 17, *extra), (3, "", "en", "s", 0, *extra), (1, "a repeated id with its own text", "en", "s", 31, *extra)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, some in (("full", rows), ("none", [])):
+        folder = tmp_path / name
+        labels.write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame(some, schema).write.parquet(str(folder / "documents.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            got = f(spark, docs, str(folder))
+            assert got.columns == docs.columns, stage
+            assert all(r.component_id in ("c", None) and r.copies in (7, None) and r.base in ("b", None) for r in got.collect()), stage
+        assert "[EMAIL]" in "".join(r.text or "" for r in corpus_pipeline.sanitise(spark, docs, str(folder)).collect()) or not some
+        assert corpus_pipeline.run(spark, str(folder)).count() >= (1 if some else 0)
+
+
 def test_queries_are_registered_whole():
     names = set(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
