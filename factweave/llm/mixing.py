@@ -4,8 +4,9 @@ Targets come from water-filling over per-source sums. A document's copies have t
 target / source size; whole parts are kept and fractions are rounded by transfers between pairs: mass (in
 words) moves from one document of a pair to the other, in a random direction that leaves both expectations
 unchanged, until one of the two is integral. Pairs are met in a reduction tree: within blocks of bounded
-size first, then among the blocks' residuals, until each source has one residual, so a source's words end
-within one document of its target and no group grows with the data.
+size first, then among the blocks' residuals, until each source has one residual. What its rounding misses the
+target by is handed down to smaller documents, so a source's words end within about half of a small document of its
+target, and no group grows with the data.
 """
 
 from __future__ import annotations
@@ -21,30 +22,39 @@ UNITS = 1 << 16
 BLOCK_ROWS = 64
 #: No document is taken more often.
 MOST_COPIES = 3
+#: Rounded documents of each size class and decision that can take over what the last residual missed its target by.
+SPARE = 8
+
+
+def _before(df: DataFrame, group: list[str]) -> DataFrame:
+    """(group, part, before): how many rows of a group lie in lower parts. One row a part is all that a window sees."""
+    parts = df.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("n"))
+    lower = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*group, "part", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("before"))
 
 
 def source_targets(sizes: DataFrame, most: int = MOST_COPIES, weights: int = 3) -> DataFrame:
     """source, source_size, target of every source of (source, size) rows; null is a source too.
 
-    Sources by code point, null last, weigh 1..``weights``, repeating. The common level of target per
-    weight is the one at which all targets, none over ``most`` times its source's size, make the total:
-    with the sources by capacity per weight, the first that is not capped gives it. The windows run over
-    one pre-aggregated row per source.
+    Sources by code point, null last, weigh 1..``weights``, repeating. The common level of target per weight is
+    raised until no further source is over ``most`` times its size: each round is one sum over a row per source. Places
+    in the order come from range partitions and the counts of those before, so no task sees all sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("weight", (F.pmod(F.row_number().over(rank) - 1, F.lit(weights)) + 1).cast("long"))
-    per = per.withColumn("cap", F.col("source_size") * most)
-    order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("total", F.sum("source_size").over(everything)).withColumn("weights", F.sum("weight").over(everything))
-    per = per.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-    per = per.withColumn("level", (F.col("total") - F.col("capped")) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    free = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))
-    per = per.withColumn("level", F.min(free).over(everything)["level"])
-    target = F.when(F.col("level").isNull(), F.lit(0.0)).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-    return per.select("source", "source_size", target.alias("target"))
+    order = F.col("source").asc_nulls_last()
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    per = keep(per, "mix-sources")
+    at = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("before")
+    per = per.join(_before(per.withColumn("all", F.lit(1)), ["all"]).drop("all"), "part").withColumn("weight", (F.pmod(at, F.lit(weights)) + 1).cast("long"))
+    per = keep(per.select("source", "source_size", "weight", (F.col("source_size") * most).alias("cap")), "mix-weights")
+    total, weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, n_capped = (total / weight if total else 0.0), 0
+    while total:
+        over = F.col("cap") < F.col("weight") * F.lit(level)
+        n, cap, held = per.where(over).agg(F.count(F.lit(1)), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if n == n_capped or held == weight:
+            break
+        level, n_capped = (total - cap) / (weight - held), n
+    return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(level))).alias("target"))
 
 
 def _draw(seed: int, step: Column, a: Column, b: Column, most: Column) -> Column:
@@ -129,18 +139,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Size is the number of words of the whole text (null and blank texts: 0, with 0 copies). A null
     source is a source of its own, last in order. Rows of one id are separate documents, told apart
     by ``row_col`` where given and by numbers of our own else. Draws depend only on the seed, ids,
-    sources and sizes, so reruns agree (only among more than ``block_rows`` rows that agree in all three
-    does the row number decide). An empty table gives no rows; columns not named are not read.
+    sources and sizes, so reruns agree: of rows that agree in all three the same number is taken each time. An
+    empty table gives no rows; columns not named are not read.
     """
     sized = docs.select(
         col(id_col).alias("id"), col(source_col).alias("source"),
         F.coalesce(F.regexp_count(col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
     ).withColumn("key", F.xxhash64(F.lit(seed), "id", "source", "size"))
-    sized = keep(sized, "mix-sizes")
+    sized = keep(sized.withColumn("part", F.spark_partition_id()), "mix-sizes")
     repeated = keep(sized.groupBy("key").count().where(F.col("count") > block_rows).select("key", F.lit(True).alias("often")), "mix-repeated")
     if not repeated.isEmpty():
-        sized = sized.join(repeated, "key", "left").withColumn("key", F.when(F.col("often"), F.xxhash64("key", "row")).otherwise(F.col("key"))).drop("often")
+        # Rows that agree in all are numbered, part by part: whichever gets which number, the draws are the same.
+        sized = sized.join(repeated, "key", "left")
+        often = sized.where("often").drop("often")
+        place = F.row_number().over(Window.partitionBy("key", "part").orderBy("row")) + F.col("before")
+        numbered = often.join(_before(often, ["key"]), ["key", "part"]).withColumn("key", F.xxhash64("key", place)).drop("before")
+        sized = keep(sized.where("often is null").drop("often").unionByName(numbered), "mix-numbered")
     targets = keep(source_targets(sized).withColumn("grp", F.xxhash64(F.col("source").isNull(), "source")), "mix-targets")
     joined = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(F.lit(0.0))
@@ -151,12 +166,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     units = joined.where((F.col("mass") > 0) & (F.col("mass") < F.col("full"))).select("grp", F.col("row").alias("uid"), "key", "mass", "full")
     ups = pivotal_round(units, seed, block_rows).where("up").select(F.col("uid").alias("row"), F.lit(1).alias("more"))
-    out = joined.join(ups, "row", "left")
     more = F.coalesce(F.col("more"), F.when(F.col("mass") >= F.col("full"), 1).otherwise(0))
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(F.col("base") + more, F.lit(MOST_COPIES)))
+    unit = (F.col("mass") > 0) & (F.col("mass") < F.col("full"))
+    taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(F.col("base") + more, F.lit(MOST_COPIES))).cast("long")
+    decided = joined.join(ups, "row", "left").select("id", "row", "key", "grp", "source", "size", "source_size", "target", taken.alias("copies"), F.when(unit, F.col("more").isNotNull()).alias("up"))
+    decided = keep(decided, "mix-decided")
+    out = decided.join(_handed_down(decided), "row", "left")
+    copies = F.col("copies") + F.when(F.col("other").isNull(), 0).when(F.col("up"), -1).otherwise(1)
     return out.select(F.col("id").alias(id_col), "row", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
+def _handed_down(decided: DataFrame) -> DataFrame:
+    """(row, other): the units to decide the other way, so that each source's words come nearest to its target.
+
+    The last residual is rounded as a whole, which misses the target by up to half its size. The miss is handed
+    down the size classes: from large to small, a unit is decided anew where that lessens it. ``SPARE`` units of each
+    class and decision, by key, are enough for that, so a source's list is bounded whatever its size.
+    """
+    rank = Window.partitionBy("grp", "cls", "up").orderBy("key", "row")
+    some = decided.where("up is not null").withColumn("cls", F.floor(F.log2("size"))).withColumn("k", F.row_number().over(rank)).where(F.col("k") <= SPARE)
+    lists = some.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "key", "row", F.when(F.col("up"), -F.col("size")).otherwise(F.col("size")).alias("adds")))).alias("units"))
+    missing = decided.groupBy("grp").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"))
+    start = F.struct(F.col("miss").cast("double").alias("miss"), F.array().cast("array<bigint>").alias("rows"))
+
+    def step(acc: Column, x: Column) -> Column:
+        after = acc["miss"] - x["adds"]
+        return F.when(F.abs(after) < F.abs(acc["miss"]), F.struct(after.alias("miss"), F.concat(acc["rows"], F.array(x["row"])).alias("rows"))).otherwise(acc)
+
+    rows = lists.join(missing, "grp").select(F.explode(F.aggregate("units", start, step)["rows"]).alias("row"))
+    return keep(rows.withColumn("other", F.lit(True)), "mix-handed")
+
+
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """The documents as the mix takes them: every row as often as its copies say, same columns.
 
