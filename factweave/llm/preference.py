@@ -44,7 +44,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id",
     Turns are equal if role and text are. The prompt renders the longest common prefix; the completions render the
     rest of each side, and a mask's spans (start, end in code points of its completion) are what is
     learned. Equal conversations are all prompt; a side without turns, or missing, is an empty completion. Null roles
-    and texts are empty; rows without a pair are left out; marks inside texts are broken up; repeated rows
+    and texts are empty; a null turn comes before all others; rows without a pair are left out; marks inside texts are broken up; repeated rows
     of a turn count once; empty tables give no rows; other columns are not read. A group is one conversation,
     which is one row of the result anyway.
     """

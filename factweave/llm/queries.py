@@ -17,7 +17,7 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation is chosen; rejected is the same with its last turn said as in the conversation of the id before."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    last = turns.groupBy("conv_id").agg(F.max("turn").alias("end"), F.max_by("text", "turn").alias("final"))
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("end"), F.max_by("text", F.struct("turn", "role", "text")).alias("final"))
     other = last.select((F.col("conv_id") + 1).alias("conv_id"), F.col("final").alias("said"))
     rejected = turns.join(last.drop("final"), "conv_id").join(other, "conv_id", "left")
     rejected = rejected.withColumn("text", F.when(F.col("turn") == F.col("end"), F.coalesce("said", F.lit(""))).otherwise(F.col("text")))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, keep
 
 #: Headers of a not-modified response that replace the stored ones.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Time buckets of the as-of join: a URL's captures are looked through bucket by bucket, in as many tasks.
+#: Buckets of time of the as-of join: a URL's captures are looked through bucket by bucket, in as many tasks.
 BUCKETS = 64
 
 
@@ -31,19 +31,20 @@ def _etag(headers: Column) -> Column:
 
 
 def as_of(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds found: (ts, id, etag, modified) of the latest full response before each record of (id, key, ts, full, etag, modified).
+    """Adds found: (ts, id, etag, modified, tag) of the latest full response before each record of (id, key, ts, full, etag, modified, tag).
 
     Within a bucket of time a window looks back; for what came before the bucket, the last response of each of the
-    key's earlier buckets is enough, at most ``buckets`` rows a key. So a key that holds a third of all
-    records is spread over as many tasks as it has buckets.
+    key's earlier buckets is enough, at most ``buckets`` rows a key. Buckets end at quantiles of all times, so a key
+    that holds a third of all records is spread over a third of the buckets at least, wherever outliers lie; only
+    records of one key and one time stay together.
     """
-    ends = records.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    low, wide = ends["lo"] or 0, max(1, -(-((ends["hi"] or 0) - (ends["lo"] or 0) + 1) // buckets))
-    rows = records.withColumn("bucket", F.floor((F.col("ts") - low) / wide))
-    mine = F.when(F.col("full"), F.struct("ts", "id", "etag", "modified"))
-    inside = Window.partitionBy("key", "bucket").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = sorted(set(records.approxQuantile("ts", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
+    bucket = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("ts")))
+    rows = records.withColumn("bucket", bucket)
+    mine = F.when(F.col("full"), F.struct("ts", "id", "etag", "modified", "tag"))
+    inside = Window.partitionBy("key", "bucket").orderBy("ts", "id", "etag", "modified", "tag").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("near", F.last(mine, ignorenulls=True).over(inside))
-    last = records.withColumn("bucket", F.floor((F.col("ts") - low) / wide)).groupBy("key", "bucket").agg(F.max(mine).alias("top"))
+    last = records.withColumn("bucket", bucket).groupBy("key", "bucket").agg(F.max(mine).alias("top"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     last = last.select("key", "bucket", F.last("top", ignorenulls=True).over(before).alias("far"))
     return rows.join(last, ["key", "bucket"]).withColumn("found", F.coalesce("near", "far")).drop("bucket", "near", "far")
@@ -58,23 +59,32 @@ def resolve(records: DataFrame, id_col: str = "record_id", url_col: str = "url",
     either it is taken as it is. status: full, resolved, unvalidated, mismatch or missing. Resolved revisits carry the
     response's payload and its headers with the permitted ones of the revisit in place; others keep their own headers
     and no payload. Null URLs, times and kinds resolve to nothing; null headers are empty; an empty table gives no
-    rows. Ids are taken to be unique; other columns are not read.
+    rows. Rows that share an id are records of their own: none is lost or repeated, and a revisit takes the
+    payload of the very response that was found. Other columns are not read.
     """
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     base = records.select(col(id_col).alias("id"), col(url_col).alias("url"), col(time_col).cast("long").alias("ts"), F.coalesce(col(kind_col) == "response", F.lit(False)).alias("full"), F.coalesce(col(headers_col), none).alias("headers"), col(payload_col).alias("payload"))
-    slim = base.select("id", canonical(F.col("url")).alias("url_key"), "ts", "full", _etag(F.col("headers")).alias("etag"), F.try_element_at("headers", F.lit("last-modified")).alias("modified"))
-    # A record without URL or time gets a key of its own, so that such records are no group.
-    own = F.concat(F.lit("\x00"), F.col("id").cast("string"))
-    keyed = slim.withColumn("key", F.when(F.col("url_key").isNull() | F.col("ts").isNull(), own).otherwise(F.col("url_key"))).withColumn("ts", F.coalesce("ts", F.lit(0)))
-    got = as_of(keyed)
+    # What tells a response from others of its id and time; rows equal in this too have the same contents.
+    tag = F.when(F.col("full"), F.xxhash64("url", "payload", F.array_sort(F.map_entries("headers"))))
+    slim = base.select("id", canonical(F.col("url")).alias("url_key"), "ts", "full", _etag(F.col("headers")).alias("etag"), F.try_element_at("headers", F.lit("last-modified")).alias("modified"), tag.alias("tag"), F.when(~F.col("full"), F.col("headers")).alias("headers"))
+    # A record without URL or time meets nothing.
+    lone = F.col("url_key").isNull() | F.col("ts").isNull()
+    got = as_of(slim.where(~lone).withColumn("key", F.col("url_key"))).where("not full")
     same = F.when(F.col("etag").isNotNull(), F.col("etag").eqNullSafe(F.col("found.etag"))).when(F.col("modified").isNotNull(), F.col("modified").eqNullSafe(F.col("found.modified")))
-    status = F.when(F.col("full"), "full").when(F.col("found").isNull(), "missing").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
-    got = got.select("id", "url_key", status.alias("status"), F.when(status.isin("resolved", "unvalidated"), F.col("found.id")).alias("resolved_id"))
-    # Full responses pass straight through; their payloads are shuffled once, for the revisits that resolve to them.
-    whole = base.where("full").select(F.col("id").alias(id_col), canonical(F.col("url")).alias("url_key"), F.lit("full").alias("status"), F.lit(None).cast(base.schema["id"].dataType).alias("resolved_id"), "headers", "payload")
-    responses = base.where("full").select(F.col("id").alias("resolved_id"), F.col("headers").alias("stored"), "payload")
-    asked = got.where("status <> 'full'").join(base.where("not full").select("id", "headers"), "id").join(responses, "resolved_id", "left")
+    status = F.when(F.col("found").isNull(), "missing").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
+    got = got.select("id", "url_key", status.alias("status"), "headers", F.when(status.isin("resolved", "unvalidated"), F.col("found")).alias("found"))
+    alone = slim.where(lone & ~F.col("full")).select("id", "url_key", F.lit("missing").alias("status"), "headers", F.lit(None).cast(got.schema["found"].dataType).alias("found"))
+    asked = keep(got.unionByName(alone), "revisit-asked")
+    fulls = F.col("full")
+    empty = F.lit(None).cast(base.schema["id"].dataType)
+    # Full responses pass straight through, and so does what resolves to nothing; payloads are shuffled once, for the rest.
+    whole = base.where(fulls).select(F.col("id").alias(id_col), canonical(F.col("url")).alias("url_key"), F.lit("full").alias("status"), empty.alias("resolved_id"), "headers", "payload")
+    lost = asked.where("found is null").select(F.col("id").alias(id_col), "url_key", "status", empty.alias("resolved_id"), "headers", F.lit(None).cast(base.schema["payload"].dataType).alias("payload"))
+    on = ["resolved_id", "f_ts", "f_tag"]
+    responses = base.where(fulls).select(F.col("id").alias("resolved_id"), F.col("ts").alias("f_ts"), tag.alias("f_tag"), F.col("headers").alias("stored"), "payload")
+    met = asked.where("found is not null").select("id", "url_key", "status", "headers", F.col("found.id").alias("resolved_id"), F.col("found.ts").alias("f_ts"), F.col("found.tag").alias("f_tag"))
+    met = met.join(responses.dropDuplicates(on), on)
     fresh = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)
-    asked = asked.select(F.col("id").alias(id_col), "url_key", "status", "resolved_id", F.when(F.col("resolved_id").isNotNull(), merged).otherwise(F.col("headers")).alias("headers"), "payload")
-    return whole.unionByName(asked)
+    found = met.select(F.col("id").alias(id_col), "url_key", "status", "resolved_id", merged.alias("headers"), "payload")
+    return whole.unionByName(lost).unionByName(found)

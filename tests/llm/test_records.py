@@ -58,3 +58,31 @@ def test_merged_headers(spark):
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>, payload string")
     got = {r.record_id: r for r in revisit.resolve(df).collect()}
     assert got[2].headers == {"etag": "W/e", "content-type": "text/html", "date": "2"} and got[2].payload == "body"
+
+
+def test_repeated_ids_and_outlier_times(spark):
+    rows = [(1, "http://h/", 5, "response", {"etag": "a"}, "one"), (1, "http://h/", 6, "response", {"etag": "b"}, "two"), (1, "http://h/", 6, "response", {"etag": "b"}, "two")]
+    rows += [(2, "http://h/", 7, "revisit", {"etag": "b"}, None), (2, "http://h/", 8, "revisit", {"etag": "a"}, None), (None, None, 9, "revisit", None, None), (None, None, None, "revisit", None, None), (None, None, 1, "response", {"etag": "b"}, "lone")]
+    rows += [(9, "http://far/", 10**12, "revisit", {}, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>, payload string")
+    got = revisit.resolve(df).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.status, r.payload) for r in got if r.record_id == 2) == [("mismatch", None), ("resolved", "two")]
+    assert sorted(r.payload for r in got if r.record_id == 1) == ["one", "two", "two"]
+    assert sum(r.status == "missing" for r in got) == 3
+    # An outlier leaves the other times spread over the buckets.
+    times = spark.createDataFrame([(i, "k", i, True, "e", None, 0) for i in range(1000)] + [(1000, "k", 10**15, False, "e", None, 0)], "id long, key string, ts long, full boolean, etag string, modified string, tag long")
+    found = {r.id: r.found for r in revisit.as_of(times).collect()}
+    assert len(found) == 1001 and found[0] is None and all(found[i].id == i - 1 for i in range(1, 1001))
+
+
+def test_null_turns_and_repeated_last_turns(spark, tmp_path):
+    from factweave.llm import queries
+
+    said = [(1, None, "user", "before all", ""), (1, 0, "assistant", "x", "")]
+    got = preference.format_pairs(spark.createDataFrame(said, TURN), spark.createDataFrame(said[:1], TURN)).first()
+    assert got.n_common == 1 and got.chosen.startswith("<|im_start|>assistant") and got.rejected == ""
+    talk = [(k, t, "user", f"{k} {t} {n}") for k in range(3) for t in range(2) for n in range(2)]
+    spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = queries.op1_preference_format(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 and len({r.rejected_sha256 for r in rows}) == 3
