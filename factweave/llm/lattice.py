@@ -209,13 +209,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Vectors are compared only within equal labels (and dimensions). A null id, label or vector, a null or
     non-finite component and the zero vector link with nothing and keep their own id. Copies link with each
-    other. An empty table gives no rows; other columns are not read. Ids are taken to be unique.
+    other. Rows that share an id are vectors of their own, each with its own links, and the id counts for the
+    components of all of them. An empty table gives no rows; other columns are not read.
     """
     importable(df.sparkSession)
     how = (cosine, tables, probes, scale)
     named = keep(_named(df, id_col, vec_col, label_col), "lat-named")
-    classes = named.where("ck is not null").groupBy("ck").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"), F.first("grp").alias("grp"), F.first("vec").alias("vec"))
-    classes = keep(classes, "lat-classes")
+    classes = named.where("ck is not null").groupBy("ck").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"), F.first("grp").alias("grp"), F.first("vec").alias("vec"))
+    # A class is named by half its contents' hash, as several can have the same least id.
+    classes = keep(classes.withColumn("id", F.xxhash64("ck")), "lat-classes")
     keys = keep(_table(classes, tables, probes, scale), "lat-cells")
     # Cells where a pair can meet: one own cell at least, and company.
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
@@ -265,7 +267,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     found = keep(grouped.mapInArrow(run, schema), "lat-found")
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = keep(components(found.where("id <> root").select("id", "root").distinct(), "id", "root").withColumnsRenamed({"node": "rep", "root": "least"}), "lat-roots")
-    out = named.select("id", "ck").join(classes.select("ck", F.col("id").alias("rep"), "m"), "ck", "left").join(links, "rep", "left").join(roots, "rep", "left")
-    component = F.coalesce("least", "rep", "id")
+    roots = keep(components(found.where("id <> root").select("id", "root").distinct(), "id", "root").withColumnsRenamed({"node": "rep"}), "lat-roots")
+    ids = classes.select("ck", F.col("id").alias("rep"), "least", "m")
+    firsts = roots.join(ids, "rep").groupBy("root").agg(F.min("least").alias("first"))
+    reached = keep(roots.join(firsts, "root").select("rep", "first"), "lat-reached")
+    out = named.select("id", "ck").join(ids, "ck", "left").join(links, "rep", "left").join(reached, "rep", "left")
+    component = F.coalesce("first", "least", "id")
     return out.select(F.col("id").alias(id_col), (F.coalesce(F.col("m") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -155,3 +155,11 @@ def test_counts_are_not_repeated_across_tables():
             np.add.at(total, got[0], got[1])
     assert (total == (unit @ unit.T >= 0.93).sum(1) - 1).all()
 
+
+
+def test_rows_that_share_an_id_have_links_of_their_own(spark):
+    v = lambda *x: [float(y) for y in x] + [0.0] * 6
+    rows = [(5, v(1, 0), 1), (5, v(0, 1), 1), (7, v(1, 0.01), 1), (6, v(0.01, 1), 1), (5, v(-1, -1), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.near_duplicates(df).collect())
+    assert got == [(5, 0, 5), (5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
