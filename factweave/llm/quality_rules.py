@@ -102,7 +102,7 @@ def bucket_value(b: Column) -> Column:
 
 def sketches(stats: DataFrame) -> DataFrame:
     """(lang, source, rule, bucket, n): the groups' mergeable sketches."""
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), bucket(F.col(f"m_{r}")).alias("bucket")) for r in RULES])
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), bucket(F.col(f"__m_{r}")).alias("bucket")) for r in RULES])
     return stats.select("lang", "source", F.explode(rules).alias("r")).groupBy("lang", "source", "r.rule", "r.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -133,14 +133,15 @@ def apply_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     base_failed: under ten words, or more than a fifth of the words in repeated windows. kept: not base_failed and
     within its group's threshold for every rule. Null languages and sources form groups of their own; null
     and empty texts fail the base; repeated rows are judged alike and each counts; an empty table gives
-    no rows. The thresholds join by size: broadcast while small, else a shuffle that splits hot groups.
+    no rows. Other columns stay as they are, but for those of the outputs' names, which are replaced (names that begin
+    with __m_ or __max_ are ours). The thresholds join by size: broadcast while small, else a shuffle that splits hot groups.
     """
     renamed = df.withColumns({"lang": col(lang_col), "source": col(source_col)})
     stats = text_counts(renamed, text_col)
-    stats = keep(stats.withColumns({f"m_{r}": m for r, m in measures().items()}), "rules-stats")
-    limits = thresholds(keep(sketches(stats), "rules-sketch"), least_rows).withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    stats = keep(stats.withColumns({f"__m_{r}": m for r, m in measures().items()}), "rules-stats")
+    limits = thresholds(keep(sketches(stats), "rules-sketch"), least_rows).withColumnsRenamed({"lang": "__lang", "source": "__source", **{f"max_{r}": f"__max_{r}" for r in RULES}})
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    failed = F.array_compact(F.array(*[F.when(F.col(f"m_{r}") > F.col(f"max_{r}"), F.lit(r)) for r in RULES]))
+    failed = F.array_compact(F.array(*[F.when(F.col(f"__m_{r}") > F.col(f"__max_{r}"), F.lit(r)) for r in RULES]))
     judged = joined.withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return judged.drop("__lang", "__source", *[f"m_{r}" for r in RULES], *[f"max_{r}" for r in RULES])
+    return judged.drop("__lang", "__source", *[f"__m_{r}" for r in RULES], *[f"__max_{r}" for r in RULES])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -119,6 +120,33 @@ def test_terms_of_the_whole_text_are_weighed_and_counted_in_one_scope(spark):
     assert not any("Zanzibar" in t or long in t or "Kiosk" in t for t in clean) and all("w199" in t for t in clean[:76])
 
 
+def test_disclosures_equal_brute_force(spark):
+    random.seed(12)
+    names = [f"N{k}" for k in range(12)]
+    mails = [f"m{k}@h.example.com" for k in range(4)]
+    texts = [" ".join([f"t{k}", *random.sample(names, 3), *(random.sample(mails, random.randint(0, 2)) if k % 2 else [])]) for k in range(120)]
+    texts += [f"N{k} m{k}@h.example.com u{j}" for k in range(3) for j in range(6)] + texts[:20]
+    held = [(set(re.findall(r"[A-Za-z]+[0-9]+(?![0-9@])(?<!@)", re.sub(r"\S+@\S+", " ", t))), {f"email:{m}" for m in re.findall(r"\S+@\S+", t)}) for t in texts]
+    want, n = {}, len(texts)
+    for e in {e for _, es in held for e in es}:
+        n_e = sum(e in es for _, es in held)
+        for w in {w for ws, es in held if e in es for w in ws}:
+            both = [t for t, (ws, es) in zip(texts, held, strict=True) if w in ws and e in es]
+            share = math.log2(len(both) * n / (n_e * sum(w in ws for ws, _ in held))) / math.log2(n / n_e)
+            if len(set(both)) >= 3 and share >= 0.1:
+                want[e, w] = share >= 0.3
+    df = docs(spark, texts)
+    found = pii.find_base(df.withColumn("text_key", pii.F.md5("text"))).where("size(base) > 0")
+    got = {(r.entity, r.term): r.removed for r in pii.disclosures(found, df.select("text"), n, 3, 0.1, 0.3).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_rules_leave_clashing_columns_alone(spark):
+    df = docs(spark, ["one two three four five six seven eight nine ten eleven", None]).selectExpr("*", "1 AS max_length", "2 AS m_length", "3 AS m_symbols", "4 AS rule", "5 AS bucket")
+    got = quality_rules.apply_rules(df).collect()
+    assert len(got) == 2 and all((r.max_length, r.m_length, r.m_symbols, r.rule, r.bucket) == (1, 2, 3, 4, 5) for r in got)
+
+
 def test_rule_counts_equal_brute_force(spark):
     texts = [None, "", " \n\t ", "a b c d e a b c d e f", "x\ny\nx\n\n \nx", "#a *b $$ <c>", "日本 é 🙂 " * 8, "la " * 5000, "one two three four"]
     random.seed(5)
@@ -187,11 +215,30 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         assert r.size == len(rows[r.doc_id][1].split()) and r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6
         assert 0 <= r.copies <= 3
         taken[r.source] += r.copies * r.size
-    assert len(got) == 700 and all(abs(taken[s] - target[s]) <= 40 for s in size)
+    # Every source comes within half of its smallest document, where it has some to decide.
+    assert len(got) == 700 and all(abs(taken[s] - target[s]) <= 1 for s in size)
     again = mixing.mix(df.repartition(3), block_rows=16).collect()
     assert sorted((r.doc_id, r.copies) for r in got) == sorted((r.doc_id, r.copies) for r in again)
 
 
+def test_mix_many_small_sources(spark):
+    random.seed(14)
+    rows = [(i, " ".join(["w"] * random.randint(5, 900)), f"s{i % 10}") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target, least = Counter(), {}, defaultdict(lambda: 1 << 30)
+    for r in got:
+        taken[r.source] += r.copies * r.size
+        target[r.source] = r.target
+        least[r.source] = min(least[r.source], r.size)
+    assert all(abs(taken[s] - target[s]) <= least[s] for s in target)
+
+
+def test_mix_equal_rows_agree_whatever_their_order(spark):
+    df = spark.createDataFrame([(7, f"w{k} b c", "s") for k in range(400)] + [(k, "w " * (k % 90), "s" if k % 3 else None) for k in range(500)], "doc_id long, text string, source string")
+    runs = [Counter((r.doc_id, r.source, r.size, r.copies) for r in mixing.mix(x, block_rows=16).collect()) for x in (df, df.repartition(5), df.orderBy(F.desc("text")))]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_mix_repeated_ids_and_empty(spark):
     rows = [(1, "a b c", "s", 0)] * 300 + [(None, "d e", None, 0), (2, None, "t", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
