@@ -24,6 +24,8 @@ BLOCK_ROWS = 64
 MOST_COPIES = 3
 #: Rounded documents of each size class and decision that can take over what the last residual missed its target by.
 SPARE = 8
+#: How often a pair of these is looked for that lessens the miss.
+PAIR_ROUNDS = 3
 
 
 def _before(df: DataFrame, group: list[str]) -> DataFrame:
@@ -180,8 +182,9 @@ def _handed_down(decided: DataFrame) -> DataFrame:
     """(row, other): the units to decide the other way, so that each source's words come nearest to its target.
 
     The last residual is rounded as a whole, which misses the target by up to half its size. The miss is handed
-    down the size classes: from large to small, a unit is decided anew where that lessens it. ``SPARE`` units of each
-    class and decision, by key, are enough for that, so a source's list is bounded whatever its size.
+    down the size classes: from large to small, a unit is decided anew where that lessens it, and then the pair of units
+    that lessens it most. ``SPARE`` units of each class and decision, by key, are enough for that, so a source's
+    list is bounded whatever its size.
     """
     rank = Window.partitionBy("grp", "cls", "up").orderBy("key", "row")
     some = decided.where("up is not null").withColumn("cls", F.floor(F.log2("size"))).withColumn("k", F.row_number().over(rank)).where(F.col("k") <= SPARE)
@@ -193,8 +196,22 @@ def _handed_down(decided: DataFrame) -> DataFrame:
         after = acc["miss"] - x["adds"]
         return F.when(F.abs(after) < F.abs(acc["miss"]), F.struct(after.alias("miss"), F.concat(acc["rows"], F.array(x["row"])).alias("rows"))).otherwise(acc)
 
-    rows = lists.join(missing, "grp").select(F.explode(F.aggregate("units", start, step)["rows"]).alias("row"))
-    return keep(rows.withColumn("other", F.lit(True)), "mix-handed")
+    got = lists.join(missing, "grp").select("units", F.aggregate("units", start, step).alias("s"))
+    for _ in range(PAIR_ROUNDS):
+        got = keep(got.select("units", "s.miss", "s.rows"), "mix-missing")
+        now = F.transform("units", lambda x: F.struct(x["row"].alias("row"), F.when(F.array_contains("rows", x["row"]), -x["adds"]).otherwise(x["adds"]).alias("adds")))
+        got = got.select("units", "miss", "rows", now.alias("now"))
+
+        def both(x: Column, y: Column) -> Column:
+            left = F.col("miss") - x["adds"] - y["adds"]
+            return F.struct(F.abs(left).alias("far"), left.alias("miss"), F.array(x["row"], y["row"]).alias("rows"))
+
+        pairs = F.transform("now", lambda x, i: F.array_min(F.transform(F.slice("now", i + 2, F.size("now")), lambda y: both(x, y))))
+        got = keep(got.select("units", "miss", "rows", F.array_min(pairs).alias("best")), "mix-best")
+        turned = F.concat(F.array_except("rows", "best.rows"), F.array_except("best.rows", "rows"))
+        better = F.coalesce(F.col("best.far") < F.abs("miss"), F.lit(False))
+        got = got.select("units", F.struct(F.when(better, F.col("best.miss")).otherwise(F.col("miss")).alias("miss"), F.when(better, turned).otherwise(F.col("rows")).alias("rows")).alias("s"))
+    return keep(got.select(F.explode("s.rows").alias("row"), F.lit(True).alias("other")), "mix-handed")
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
