@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: White space that trims off both ends.
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def stripped(x: Column) -> Column:
+    return F.btrim(x, F.lit(WHITE))
+
+
 def norm_api(name: Column) -> Column:
     """F1: runs of leading underscores shrink to two; a single one goes unless the name is mangled."""
     x = F.regexp_replace(F.coalesce(name, F.lit("")), "^_{3,}", "__")
@@ -45,7 +53,7 @@ PAIRED = ["mov", "movzx", "movsx", "lea", "add", "sub", "imul", "mul", "idiv", "
 
 def operand_type(op: Column) -> Column:
     """NONE, MEM, IMM, REG, SYM or OTHER; the first rule that fits."""
-    x = F.trim(op)
+    x = stripped(op)
     return (
         F.when(x == "", "NONE").when(x.contains("[") | x.contains("]") | x.rlike("(?i)^[a-z]{1,3}:"), "MEM")
         .when(x.rlike(r"^-?(0x[0-9a-fA-F]+|\d+)$"), "IMM").when(x.rlike(REGISTER), "REG").when(x.rlike(SYMBOL), "SYM").otherwise("OTHER")
@@ -58,10 +66,10 @@ def insn_tokens(code: DataFrame, imports: DataFrame, internal: DataFrame) -> Dat
     imports (item_id, api) and internal (item_id, name) tell API calls from internal ones.
     """
     lines = code.select("item_id", "func", F.posexplode(F.split("disasm", r"\R")).alias("pos", "raw"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace(F.trim("raw"), ";.*$", ""))).where("line <> '' and not endswith(line, ':') and not startswith(line, '.')")
+    lines = lines.withColumn("line", stripped(F.regexp_replace(stripped(F.col("raw")), ";.*$", ""))).where("line <> '' and not endswith(line, ':') and not startswith(line, '.')")
     lines = lines.withColumn("mnem", F.lower(F.regexp_extract("line", r"^(\S+)", 1))).where(~F.col("mnem").rlike("^(loc_|sub_|off_)") & (F.col("mnem") != "nop"))
-    lines = lines.withColumn("rest", F.trim(F.regexp_replace("line", r"^\S+\s*", ""))).withColumn("ops", F.split("rest", ","))
-    callee = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.get("ops", F.lit(0))), "short", "")), "near ptr|far ptr", ""))
+    lines = lines.withColumn("rest", stripped(F.regexp_replace("line", r"^\S+\s*", ""))).withColumn("ops", F.split("rest", ","))
+    callee = stripped(F.regexp_replace(stripped(F.regexp_replace(stripped(F.get("ops", F.lit(0))), "short", "")), "near ptr|far ptr", ""))
     lines = lines.withColumn("callee", callee).withColumn("norm", norm_api(F.col("callee")))
     apis = imports.select(F.col("item_id").alias("i1"), F.col("api").alias("a1")).distinct()
     exact = apis.withColumnsRenamed({"i1": "i2", "a1": "a2"})
@@ -87,8 +95,10 @@ def insn_tokens(code: DataFrame, imports: DataFrame, internal: DataFrame) -> Dat
 
 
 def strip_prefix(name: Column) -> Column:
-    """Without leading dots, then without the import markers."""
-    return F.regexp_replace(F.regexp_replace(name, r"^\.+", ""), "^(__imp_|_imp_)", "")
+    """Each import marker goes once from the beginning, in this order: a dot, _imp_, __imp_."""
+    for marker in (r"^\.", "^_imp_", "^__imp_"):
+        name = F.regexp_replace(name, marker, "")
+    return name
 
 
 def short_name(demangled: Column) -> Column:
@@ -113,32 +123,30 @@ def int_ascii(value: Column) -> Column:
 
 
 def _balanced(text: str, opens: str, closes: str) -> str | None:
-    """The first balanced stretch between two brackets, strings respected."""
+    """The stretch from the first opening bracket to the one that closes it, strings respected; one pass."""
     start = text.find(opens)
-    while start >= 0:
-        depth, quoted, escaped = 0, False, False
-        for k in range(start, len(text)):
-            c = text[k]
-            if quoted:
-                quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
-            elif c == '"':
-                quoted, escaped = True, False
-            elif c == opens:
-                depth += 1
-            elif c == closes:
-                depth -= 1
-                if depth == 0:
-                    return text[start : k + 1]
-        start = text.find(opens, start + 1)
+    depth, quoted, escaped = 0, False, False
+    for k in range(start, len(text)) if start >= 0 else ():
+        c = text[k]
+        if quoted:
+            quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
+        elif c == '"':
+            quoted = True
+        elif c == opens:
+            depth += 1
+        elif c == closes:
+            depth -= 1
+            if depth == 0:
+                return text[start : k + 1]
     return None
 
 
 def extract_json_text(text: str | None) -> str | None:
-    """the JSON in a reply: fence and BOM off, the whole, a balanced object or array, a rough cut, or the text."""
+    """the JSON in a reply: BOM and a fence about the whole text off, the whole, a balanced object or array, a rough cut, or the text."""
     if text is None:
         return None
     s = text.lstrip("\ufeff").strip()
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", s, re.S | re.I)
+    fenced = re.fullmatch(r"```(?:json|JSON)?\s*(.*?)\s*```", s, re.S)
     s = fenced.group(1).strip() if fenced else s
     try:
         json.loads(s)
@@ -159,7 +167,11 @@ def first_object(text: str | None, required: tuple[str, ...]) -> str | None:
     """the first JSON object that has the required keys, thoughts and fences off; null if none."""
     if text is None:
         return None
-    s = re.sub(r"```(?:json)?", "", re.sub(r"<think>.*?</think>", "", text, flags=re.S | re.I), flags=re.I)
+    s = re.sub(r"<think>.*?</think>", "", text, flags=re.S | re.I)
+    # What comes before an unpaired end of a thought is thought too.
+    end = s.lower().rfind("</think>")
+    s = re.sub(r"</?think\s*>", "", s[end + 8 :] if end >= 0 else s, flags=re.I)
+    s = re.sub(r"```(?:json)?\s*", "", s, flags=re.I)
     decoder, at = json.JSONDecoder(), s.find("{")
     while at >= 0:
         try:
@@ -184,25 +196,62 @@ def json_objects(df: DataFrame, text: str, out: str, required: tuple[str, ...] |
     return df.withColumn(out, found(F.col(text)))
 
 
-def render_evidence(kind: Column, func: Column, var: Column, params: Column) -> Column:
-    """a sentence for each kind of evidence; ``params`` is a map of strings."""
-    p = lambda k: F.coalesce(params[k], F.lit("unknown"))
-    return (
-        F.when(kind == "stack_lvar", F.concat(F.lit("Local variable "), var, F.lit(" of "), func, F.lit(" has type "), p("lvar_type"), F.lit(" and "), p("lvar_size"), F.lit(" bytes, "), p("dist_to_ret"), F.lit(" bytes from the return address; it is in "), p("reg_or_stack"), F.lit(".")))
-        .when(kind == "global_var", F.concat(F.lit("Global variable "), var, F.lit(" has type "), p("global_var_type"), F.lit(" and "), p("global_var_size"), F.lit(" bytes; it is used by "), p("ref_func_list"), F.lit(".")))
-        .when(kind == "inner_call", F.concat(F.lit("Function "), func, F.lit(" calls "), p("func_name"), F.lit(".")))
-        .when(kind == "fetch_pcode", F.concat(F.lit("Pseudo-code of "), func, F.lit(": "), p("pcode")))
-        .when(kind == "fetch_disasm", F.concat(F.lit("Disassembly of "), func, F.lit(": "), p("ehasm")))
+# How evidence, import lists and gates read in a prompt.
+EVIDENCE = {
+    "stack": "{i}.stack_lvar for Function: {func} | Variable: {var}\nThe local variable is stored in the {reg_or_stack}.\nIts data type is {lvar_type}, with a size of {lvar_size} bytes.",
+    "distance": "\nIt is located {dist_to_ret} bytes away from the return address and has an offset of {offset_to_sp} from the stack pointer.",
+    "global_var": "{i}.global_var for Variable: {var}\nThe global variable has type {global_var_type} and size {global_var_size} bytes, located at address {addr_ea}.",
+    "references": "\nIt is referenced by the following functions: {refs}",
+    "inner_call": "{i}.inner_call for Function: {func}",
+    "callee": "\nIt internally calls {name}, which is classified as {kind}.",
+    "fetch_pcode": "{i}.fetch_pcode for Function: {func}\nThe function's decompiled P-code is: {pcode}",
+    "fetch_disasm": "{i}.fetch_disasm for Function: {func}\nThe function's disassembly is: {ehasm}",
+}
+IMPORT_SENTENCE = "The {func} API comes from {lib}; its function prototype is '{proto}';"
+GATE_HEADER = "Minimum Primitive Set for Satisfying Obligation Requirements:"
+GATE_LINE = "{key}'s minimum primitive set: [{items}]"
+UPDATE_HINT = "\n\nObligation-status update gate check failed for {bad}; please re-update ONLY these obligations and ensure update_from cites at least one evidence ID whose query_type matches each obligation's minimum primitive set."
+
+
+def _filled(template: str, value) -> Column:
+    """The template's {name} places filled with value(name)."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(x) if k % 2 == 0 else value(x) for k, x in enumerate(parts)])
+
+
+def render_evidence(number: Column, kind: Column, func: Column, var: Column, params: Column, calls: Column, refs: Column) -> Column:
+    """the numbered text of each kind of evidence, without newlines at its end.
+
+    ``params`` is a map of strings, ``calls`` an array of (name, kind), ``refs`` an array of function names; a missing
+    value reads None.
+    """
+    own = {"i": number.cast("string"), "func": func, "var": var, "refs": F.array_join(refs, ", ")}
+    value = lambda name: F.coalesce(own[name] if name in own else F.try_element_at(params, F.lit(name)), F.lit("None"))
+    text = {k: _filled(t, value) for k, t in EVIDENCE.items() if k != "callee"}
+    callee = lambda c: _filled(EVIDENCE["callee"], lambda name: F.coalesce(c[name], F.lit("None")))
+    in_register = F.coalesce(F.try_element_at(params, F.lit("reg_or_stack")) == "Register", F.lit(False))
+    said = (
+        F.when(kind == "stack_lvar", F.concat(text["stack"], F.when(in_register, "").otherwise(text["distance"])))
+        .when(kind == "global_var", F.concat(text["global_var"], F.when(F.size(refs) > 0, text["references"]).otherwise("")))
+        .when(kind == "inner_call", F.concat(text["inner_call"], F.array_join(F.transform(calls, callee), "")))
+        .when(kind == "fetch_pcode", text["fetch_pcode"]).when(kind == "fetch_disasm", text["fetch_disasm"])
     )
+    return F.rtrim(said, F.lit("\n"))
+
+
+def import_sentences(imports: Column) -> Column:
+    """a sentence for each import of an array of (func, lib, proto), one a line; what is missing or empty is UNKNOWN."""
+    known = lambda x: lambda name: F.when(x[name] != "", x[name]).otherwise("UNKNOWN")
+    return F.array_join(F.transform(imports, lambda x: _filled(IMPORT_SENTENCE, known(x))), "\n")
 
 
-def numbered(items: Column) -> Column:
-    """entries of a list, one a line, numbered from one."""
-    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+def code_text(bodies: Column) -> Column:
+    """pseudo-code bodies, a blank line between them, no newlines at the end."""
+    return F.rtrim(F.array_join(bodies, "\n\n"), F.lit("\n"))
 
 
 # Titles of the supported weakness classes and names of the signals.
-CWE_TITLES = {"121": "Stack-based Buffer Overflow", "122": "Heap-based Buffer Overflow", "78": "OS Command Injection", "134": "Use of Externally-Controlled Format String", "125": "Out-of-bounds Read", "787": "Out-of-bounds Write", "190": "Integer Overflow or Wraparound", "415": "Double Free", "416": "Use After Free"}
+CWE_TITLES = {"121": "Stack-based Buffer Overflow", "122": "Heap-based Buffer Overflow", "78": "OS Command Injection", "134": "Use of Externally-Controlled Format String", "789": "Memory Allocation with Excessive Size Value", "787": "Out-of-bounds Write", "125": "Out-of-bounds Read", "476": "NULL Pointer Dereference", "369": "Divide By Zero"}
 SIGNALS = {4: "SIGILL", 5: "SIGTRAP", 6: "SIGABRT", 7: "SIGBUS", 8: "SIGFPE", 9: "SIGKILL", 11: "SIGSEGV", 13: "SIGPIPE", 15: "SIGTERM", 31: "SIGSYS"}
 
 
@@ -227,9 +276,10 @@ def signal_name(number: Column) -> Column:
 
 
 def gate_text(gates: Column) -> Column:
-    """one line an obligation, in order, with its distinct sorted requirements; ``gates`` is a map of arrays."""
-    lines = F.transform(F.array_sort(F.map_keys(gates)), lambda k: F.concat(k, F.lit(": "), F.array_join(F.array_sort(F.array_distinct(gates[k])), ", ")))
-    return F.array_join(lines, "\n")
+    """a header and a line an obligation, in order, with its distinct sorted requirements; ``gates`` is a map of arrays."""
+    items = lambda k: F.array_join(F.array_sort(F.array_distinct(F.coalesce(gates[k], F.array().cast("array<string>")))), ", ")
+    lines = F.transform(F.array_sort(F.map_keys(gates)), lambda k: _filled(GATE_LINE, lambda name: k if name == "key" else items(k)))
+    return F.concat_ws("\n", F.lit(GATE_HEADER), F.array_join(lines, "\n"))
 
 
 def chunks(df: DataFrame, k: int, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -239,6 +289,7 @@ def chunks(df: DataFrame, k: int, *order: str, by: tuple[str, ...] = ()) -> Data
     return df.withColumn("chunk", F.ntile(k).over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def error_hint(failed: Column) -> Column:
-    """what to say about obligations that failed; nothing if none did."""
-    return F.when(F.size(failed) > 0, F.concat(F.lit("Evidence does not support: "), F.array_join(F.array_sort(failed), ", "), F.lit(". Cite evidence of a required type."))).otherwise("")
+def error_hint(message: Column, failed: Column) -> Column:
+    """the message, and what to say about the obligations that failed, in the order given; none leaves it as it is."""
+    hint = _filled(UPDATE_HINT, lambda _: F.array_join(failed, ","))
+    return F.when(F.size(failed) > 0, F.concat(F.rtrim(message, F.lit("\n")), hint)).otherwise(message)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.exprs import norm_api
+from factweave.functions.exprs import norm_api, stripped
 
 
 def batch_summary(runs: DataFrame) -> DataFrame:
@@ -21,21 +21,21 @@ def error_histogram(runs: DataFrame) -> DataFrame:
 
 
 def merge_imports(rows: DataFrame) -> DataFrame:
-    """A2: one (lib, proto) per func by the ordered fold over (path, pos) of: a prototype beats none, a longer one wins,
-    a real library replaces dynsym's, else the old one stays.
+    """A2: one (lib, proto) per func by the ordered fold over (path, pos): a prototype beats none, a longer one wins,
+    a real library replaces dynsym's, else the old one stays. Blank ends don't count.
 
-    The fold isn't associative, so each name's entries are folded in order, after exact repeats are dropped:
-    a repeat of an entry that was folded before changes nothing only at its first place, so the first is kept.
+    The fold isn't associative and an entry can win at a later place, so all entries of a name are folded in
+    order; a list holds one name's entries.
     """
-    distinct = rows.groupBy("func", F.coalesce("lib", F.lit("")).alias("lib"), F.coalesce("proto", F.lit("")).alias("proto")).agg(F.min(F.struct("path", "pos")).alias("at"))
-    listed = distinct.groupBy("func").agg(F.array_sort(F.collect_list(F.struct("at", "lib", "proto"))).alias("all"))
+    entry = F.struct("path", "pos", F.coalesce("lib", F.lit("")).alias("lib"), F.coalesce("proto", F.lit("")).alias("proto"))
+    listed = rows.groupBy("func").agg(F.array_sort(F.collect_list(entry)).alias("all"))
     pair = lambda x: F.struct(x["lib"].alias("lib"), x["proto"].alias("proto"))
+    unnamed = lambda lib: lib.isin("dynsym", ".dynsym")
 
     def better(old, new):
-        a, b = F.length(old["proto"]), F.length(new["proto"])
-        return F.when(b > a, pair(new)).when((a == 0) & (b == 0) | (a == b), F.when((F.lower(old["lib"]) == "dynsym") & (F.lower(new["lib"]) != "dynsym") & (new["lib"] != ""), pair(new)).otherwise(old)).otherwise(
-            F.when((F.lower(old["lib"]) == "dynsym") & (F.lower(new["lib"]) != "dynsym") & (new["lib"] != ""), pair(new)).otherwise(old)
-        )
+        lib, was = stripped(new["lib"]), stripped(old["lib"])
+        longer = F.length(stripped(new["proto"])) > F.length(stripped(old["proto"]))
+        return F.when(longer | (unnamed(was) & (lib != "") & ~unnamed(lib)), pair(new)).otherwise(old)
 
     best = F.aggregate(F.slice("all", F.lit(2), F.size("all")), pair(F.col("all")[0]), better)
     return listed.select("func", best.alias("b")).select("func", "b.lib", "b.proto")
@@ -111,7 +111,7 @@ def allocation(strata: list[tuple[int, int]], k: int) -> dict[int, int]:
 
 def sinks_in_sources(leads: DataFrame, sources: DataFrame) -> DataFrame:
     """How many leads' sinks are sources too."""
-    marked = leads.join(F.broadcast(sources.select(F.col("api").alias("sink_api"), F.lit(True).alias("src")).distinct()), "sink_api", "left")
+    marked = leads.join(sources.select(F.col("api").alias("sink_api"), F.lit(True).alias("src")).distinct(), "sink_api", "left")
     return marked.agg(F.count_if(F.col("src")).alias("n_sink_in_source"), F.count(F.lit(1)).alias("n_leads"))
 
 

@@ -124,13 +124,7 @@ def sample(vectors: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
     first = stored(medoids(vectors, clusters).select("cluster", "item_id"), "v6")
     n_clusters = first.count()
     if n_clusters <= k:
-        size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("weight"))
-        rest = clusters.join(first.select("item_id"), "item_id", "left_anti")
-        near = nearest_chosen(vectors, first)
-        w = Window.partitionBy("cluster").orderBy(F.round("sim", 9), "item_id")
-        turn = rest.join(near, "item_id", "left").join(size, "cluster").withColumn("turn", F.row_number().over(w))
-        more = turn.orderBy("turn", F.desc("weight"), "cluster").limit(k - n_clusters)
-        return first.select("item_id").unionByName(more.select("item_id"))
+        return _round_robin(vectors, clusters, first, k)
     mean = centroids(vectors, clusters)
     dense = mean.groupBy("cluster", "weight").agg(F.map_from_entries(F.collect_list(F.struct("idx", "val"))).alias("m"))
     spots = [r[0] for r in mean.select("idx").distinct().orderBy("idx").collect()]  # at most the hash dimension
@@ -139,6 +133,34 @@ def sample(vectors: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
     return first.join(picked, "cluster", "left_semi").select("item_id")
 
 
+def _round_robin(vectors: DataFrame, clusters: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """V6: the medoids, and in turns, the largest clusters first, each cluster's member least like those chosen of it so far.
+
+    There are no more than k clusters, so their sizes are few; a turn serves all clusters at once.
+    """
+    sizes = [r["n"] for r in clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()]
+    turns, missing = 0, k - len(sizes)
+    while sum(min(n - 1, turns) for n in sizes) < missing:
+        turns += 1
+    members = stored(vectors.join(clusters, "item_id").select("item_id", "cluster", "idx", "val"), "v6-members")
+    near = stored(clusters.join(first.select("item_id"), "item_id", "left_anti").select("item_id", "cluster", F.lit(-2.0).alias("near")), "v6-near")
+    last, picked = first, None
+    for turn in range(1, turns + 1):
+        with_last = members.join(last.select("item_id"), "item_id", "left_semi").select("cluster", "idx", F.col("val").alias("c"))
+        dots = members.join(with_last, ["cluster", "idx"]).groupBy("item_id").agg(F.sum(F.col("val") * F.col("c")).alias("dot"))
+        near = near.join(dots, "item_id", "left").select("item_id", "cluster", F.greatest("near", F.coalesce("dot", F.lit(0.0))).alias("near"))
+        near = stored(near, "v6-near")
+        last = stored(near.groupBy("cluster").agg(F.min(F.struct(F.round("near", 9).alias("near"), "item_id")).alias("b")).select("cluster", "b.item_id"), "v6-last")
+        near = near.join(last.select("item_id"), "item_id", "left_anti")
+        now = last.withColumn("turn", F.lit(turn))
+        picked = now if picked is None else picked.unionByName(now)
+    if picked is None:
+        return first.select("item_id")
+    size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("weight"))
+    more = picked.join(size, "cluster").orderBy("turn", F.desc("weight"), "cluster").limit(missing)
+    return first.select("item_id").unionByName(more.select("item_id"))
+
+
 def stratified_sample(vectors: DataFrame, clusters: DataFrame, bits: DataFrame, k: int) -> DataFrame:
     """V7: places per word size, sampled apart and merged; what is missing is topped up by ascending similarity.
 

@@ -17,7 +17,7 @@ def gates(flags: DataFrame) -> DataFrame:
 
     ``flags`` has lead_id, cwe and the five booleans of ``relational.lead_gates``.
     """
-    on = {"inner_call": F.col("has_indirect") & F.col("has_inner"), "global_var": F.col("has_global"), "fetch_pcode": F.col("has_inner"), "stack_lvar": F.col("has_stack"), "fetch_disasm": F.col("has_alloca")}
+    on = {"inner_call": F.col("has_indirect"), "global_var": F.col("has_global"), "fetch_pcode": F.col("has_inner"), "stack_lvar": F.col("has_stack"), "fetch_disasm": F.col("has_alloca")}
     out = flags
     for key, names in TEMPLATE.items():
         out = out.withColumn(key, F.array_compact(F.array(*[F.when(on[n], F.lit(n)) for n in names])))

@@ -87,6 +87,76 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame | None = N
     return paths.select("item_id", F.col("path")[0].alias("start"), F.element_at("path", -1).alias("end"), "path")
 
 
+def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(item_id, start, end, path): for each reachable node the shortest path from any start, the least by names among equals.
+
+    A search by breadth that keeps one path a node; with ``ends`` it doesn't go on beyond an end, and only ends come out.
+    """
+    pairs = stored(edges.select("item_id", "src", "dst").distinct(), "bfs-edges")
+    stop = None if ends is None else stored(ends.select("item_id", "name").distinct(), "bfs-ends")
+    front = stored(starts.select("item_id", "name").distinct().withColumn("path", F.array("name")), "bfs-front")
+    seen = front
+    while True:
+        grow = front if stop is None else front.join(stop, ["item_id", "name"], "left_anti")
+        step = grow.join(pairs, (grow.item_id == pairs.item_id) & (grow.name == pairs.src)).select(pairs.item_id, pairs.dst.alias("name"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.join(seen.select("item_id", "name"), ["item_id", "name"], "left_anti").groupBy("item_id", "name").agg(F.min("path").alias("path"))
+        front = stored(step, "bfs-front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    got = seen if stop is None else seen.join(stop, ["item_id", "name"], "left_semi")
+    return got.select("item_id", F.col("path")[0].alias("start"), F.col("name").alias("end"), "path")
+
+
+def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(item_id, start, end): which nodes each start reaches, itself included; nothing is enumerated but these pairs."""
+    pairs = stored(edges.select("item_id", "src", "dst").distinct(), "reach-edges")
+    seen = front = stored(starts.select("item_id", F.col("name").alias("start"), F.col("name").alias("end")).distinct(), "reach-front")
+    while True:
+        step = front.join(pairs, (front.item_id == pairs.item_id) & (front.end == pairs.src)).select(pairs.item_id, "start", pairs.dst.alias("end")).distinct()
+        front = stored(step.join(seen, ["item_id", "start", "end"], "left_anti"), "reach-front")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
+def first_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int) -> DataFrame:
+    """(item_id, start, end, path): of the simple paths that stop at their first end, the first ``most`` to each end by length,
+    then names.
+
+    Only nodes that lead to an end are walked. Where an item's edges have no cycle every path is simple, so the
+    ``most`` least paths to a node decide and no more are carried; items with cycles are walked in full, but only
+    until each end that can be reached has its paths.
+    """
+    stop = stored(ends.select("item_id", "name").distinct(), "first-ends")
+    back = edges.select("item_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    useful = stored(reachable_pairs(back, stop).select("item_id", F.col("end").alias("name")).distinct(), "first-useful")
+    pairs = stored(induced(edges, useful).distinct(), "first-edges")
+    comps = scc(pairs)
+    looped = comps.groupBy("item_id", "comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item_id").unionByName(pairs.where("src = dst").select("item_id")).distinct()
+    cyclic = stored(looped.withColumn("cyclic", F.lit(True)), "first-cyclic")
+    begin = starts.select("item_id", "name").distinct().join(useful, ["item_id", "name"], "left_semi")
+    goal = stored(shortest_paths(pairs, begin, stop).select("item_id", F.col("end").alias("name")), "first-goal")
+    front = stored(begin.withColumn("path", F.array("name")).join(cyclic, "item_id", "left"), "first-front")
+    w = Window.partitionBy("item_id", "name").orderBy("path")
+    found = None
+    while True:
+        hits = front.join(stop, ["item_id", "name"], "left_semi").select("item_id", "name", "path")
+        found = stored(hits if found is None else found.unionByName(hits), "first-found")
+        met = found.groupBy("item_id", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+        open_ = goal.join(met, ["item_id", "name"], "left_anti").select("item_id").distinct()
+        grow = front.join(stop, ["item_id", "name"], "left_anti").join(open_, "item_id", "left_semi").alias("p")
+        on = (F.col("p.item_id") == F.col("e.item_id")) & (F.col("p.name") == F.col("e.src")) & ~F.array_contains("p.path", F.col("e.dst"))
+        step = grow.join(pairs.alias("e"), on).select("p.item_id", F.col("e.dst").alias("name"), F.concat("p.path", F.array("e.dst")).alias("path"), "p.cyclic")
+        step = step.withColumn("k", F.row_number().over(w)).where(F.col("cyclic") | (F.col("k") <= most)).drop("k")
+        front = stored(step, "first-front")
+        if front.isEmpty():
+            break
+    first = Window.partitionBy("item_id", "name").orderBy(F.size("path"), "path")
+    got = found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    return got.select("item_id", F.col("path")[0].alias("start"), F.col("name").alias("end"), "path")
+
+
 def complete_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(item_id, path) of the simple paths from the starts that no edge to a node off the path extends."""
     paths = stored(simple_paths(edges, starts).select("item_id", "path"), "g6-paths")
@@ -258,10 +328,8 @@ def local_taint(assigns: DataFrame, args: DataFrame, seeds: DataFrame, passes: i
 
 
 def taint_paths(flows: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
-    """Shortest path (item_id, path) from source to each sink over states named func:param; ties by path."""
-    paths = simple_paths(flows, sources, sinks)
-    w = Window.partitionBy("item_id", "end").orderBy(F.size("path"), "path")
-    return paths.withColumn("k", F.row_number().over(w)).where("k = 1").select("item_id", "path")
+    """Shortest path (item_id, path) from a source to each sink over states named func:param; ties by path."""
+    return shortest_paths(flows, sources, sinks).select("item_id", "path")
 
 
 def table_edges(tables: DataFrame, functions: DataFrame, slots: int = 16) -> DataFrame:

@@ -17,10 +17,10 @@ def _numbered(found: DataFrame) -> DataFrame:
 
 def sink_leads(uses: DataFrame, sinks: DataFrame, edges: DataFrame, entries: DataFrame, code: DataFrame) -> DataFrame:
     """L1: leads from the entry to every caller of a sink, with code, equal leaves once."""
-    callers = uses.join(F.broadcast(sinks.select("api").distinct()), "api", "left_semi").select("item_id", F.col("caller").alias("name")).distinct()
+    callers = uses.join(sinks.select("api").distinct(), "api", "left_semi").select("item_id", F.col("caller").alias("name")).distinct()
     paths = graph.simple_paths(edges, entries.select("item_id", F.col("entry").alias("name")), callers)
     found = relational.sink_paths(uses, sinks, paths).withColumnRenamed("path", "call_chain")
-    return relational.leaf_distinct(relational.chain_code(_numbered(found), code))
+    return relational.leaf_distinct(relational.chain_code(_numbered(found), code), relational.LEAD_ORDER)
 
 
 def write_leads(edges: DataFrame, entries: DataFrame, code: DataFrame) -> DataFrame:
@@ -29,12 +29,12 @@ def write_leads(edges: DataFrame, entries: DataFrame, code: DataFrame) -> DataFr
     paths = graph.simple_paths(edges, entries.select("item_id", F.col("entry").alias("name")), writers)
     longest = relational.without_prefixes(paths.select("item_id", "path")).withColumnRenamed("path", "call_chain")
     found = longest.select("item_id", F.lit(MEMORY_WRITES).alias("sink_api"), F.element_at("call_chain", -1).alias("sink_caller"), "call_chain")
-    return relational.leaf_distinct(relational.chain_code(_numbered(found), code))
+    return relational.leaf_distinct(relational.chain_code(_numbered(found), code), relational.LEAD_ORDER)
 
 
 def needs_fallback(leads: DataFrame, items: DataFrame, sources: DataFrame) -> DataFrame:
     """L3: (item_id, fallback): no lead, or only leads whose sink is a source."""
-    src = F.broadcast(sources.select(F.col("api").alias("sink_api"), F.lit(True).alias("src")).distinct())
+    src = sources.select(F.col("api").alias("sink_api"), F.lit(True).alias("src")).distinct()
     seen = leads.join(src, "sink_api", "left").groupBy("item_id").agg(F.bool_and(F.coalesce("src", F.lit(False))).alias("only_sources"))
     return items.select("item_id").join(seen, "item_id", "left").select("item_id", F.coalesce("only_sources", F.lit(True)).alias("fallback"))
 
@@ -48,7 +48,7 @@ def with_fallback(first: DataFrame, second: DataFrame, items: DataFrame, sources
 def static_leads(static_sinks: DataFrame, edges: DataFrame, entries: DataFrame, code: DataFrame, most: int = 20) -> DataFrame:
     """L4: leads to given (item_id, caller, api) sinks, the first ``most`` paths each, repeats once."""
     ends = static_sinks.select("item_id", F.col("caller").alias("name")).distinct()
-    paths = graph.simple_paths(edges, entries.select("item_id", F.col("entry").alias("name")), ends)
+    paths = graph.first_paths(edges, entries.select("item_id", F.col("entry").alias("name")), ends, most)
     found = paths.join(static_sinks.distinct().select("item_id", F.col("caller").alias("end"), F.col("api").alias("sink_api")), ["item_id", "end"])
     capped = relational.capped_paths(found.select("item_id", "sink_api", F.col("end").alias("sink_caller"), "path"), most)
     return relational.chain_code(_numbered(capped.dropDuplicates(["item_id", "sink_caller", "sink_api", "path"]).withColumnRenamed("path", "call_chain")), code)
@@ -56,7 +56,7 @@ def static_leads(static_sinks: DataFrame, edges: DataFrame, entries: DataFrame,
 
 def edge_leads(uses: DataFrame, roles: DataFrame, edges: DataFrame) -> DataFrame:
     """Leads from each source's caller to each sink's, a pair in one function being its own chain."""
-    starts = uses.join(F.broadcast(roles.where("role = 'source'").select("api").distinct()), "api", "left_semi").select("item_id", F.col("caller").alias("name")).distinct()
+    starts = uses.join(roles.where("role = 'source'").select("api").distinct(), "api", "left_semi").select("item_id", F.col("caller").alias("name")).distinct()
     paths = graph.simple_paths(edges, starts)
     pairs = relational.source_sink_pairs(uses, roles, paths)
     joined = pairs.join(paths.select("item_id", F.col("start").alias("source_caller"), F.col("end").alias("sink_caller"), F.col("path").alias("call_chain")), ["item_id", "source_caller", "sink_caller"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.functions.exprs import stripped
+
 
 def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
@@ -53,10 +55,11 @@ def place(dist: Column, reg: Column) -> tuple[Column, Column]:
 
 
 def lead_gates(leads: DataFrame, calls: DataFrame, locals_: DataFrame, global_refs: DataFrame, code: DataFrame) -> DataFrame:
-    """Five booleans per lead over its chain's functions. A null call type is not indirect."""
+    """Five booleans per lead over its chain's functions. A null call type is not indirect; a local without a
+    register (reg_id) lies on the stack."""
     fn = leads.select("lead_id", "item_id", F.explode(F.array_distinct("call_chain")).alias("func"))
-    by_call = calls.groupBy("item_id", F.col("caller").alias("func")).agg(F.bool_or(F.coalesce(F.col("call_type") == "INDIRECT", F.lit(False))).alias("ind"), F.bool_or(F.col("cat").isin("USER_DEF", "OTHER")).alias("inner"))
-    by_local = locals_.groupBy("item_id", "func").agg(F.bool_or(F.col("dist_from_ret_addr").isNotNull()).alias("stack"))
+    by_call = calls.groupBy("item_id", F.col("caller").alias("func")).agg(F.bool_or(F.coalesce(F.upper("call_type") == "INDIRECT", F.lit(False))).alias("ind"), F.bool_or(F.upper("cat").isin("USER_DEF", "OTHER")).alias("inner"))
+    by_local = locals_.groupBy("item_id", "func").agg(F.bool_or(F.col("reg_id").isNull()).alias("stack"))
     by_global = global_refs.select("item_id", F.col("function_name").alias("func"), F.lit(True).alias("glob")).distinct()
     by_code = code.select("item_id", "func", F.col("pcode").contains(" alloca(").alias("alloca"))
     both = fn
@@ -68,16 +71,22 @@ def lead_gates(leads: DataFrame, calls: DataFrame, locals_: DataFrame, global_re
 
 def meaningful_lines(text: Column) -> Column:
     """The lines that say something, trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: F.trim(x)), lambda x: ~x.isin("", "{", "}", "else", "do"))
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: stripped(x)), lambda x: ~x.isin("", "{", "}", "else", "do"))
+
+
+# What hints are given for.
+ALLOCA = r"(?<![A-Za-z0-9])alloca\("
+PARTIAL_WORD = r"(?<![A-Za-z0-9_])(?:S)?(?:LO|HI)?(?:BYTE|WORD|DWORD)(?:\d+|n)?\s*\("
+OPERATOR_NEW = r"operator\s+new\("
 
 
 def hints(text: Column, cwe: Column) -> dict[str, Column]:
-    """What a lead's joined code mentions."""
+    """What a lead's joined code mentions, where its weakness class asks for it."""
     return {
-        "reads_guard": text.contains("__readfsqword("),
-        "uses_alloca": text.rlike(r"(^|[^A-Za-z0-9])alloca\("),
-        "partial_word": text.rlike(r"\b(LO|HI)(BYTE|WORD|DWORD)\("),
-        "uses_new": cwe.isin("122", "787") & text.contains("operator new("),
+        "reads_guard": (cwe == "121") & text.contains("__readfsqword("),
+        "uses_alloca": (cwe == "121") & text.rlike(ALLOCA),
+        "partial_word": (cwe == "121") & text.rlike(PARTIAL_WORD),
+        "uses_new": (cwe == "122") & text.rlike(OPERATOR_NEW),
     }
 
 
@@ -89,18 +98,18 @@ def api_callers(uses: DataFrame) -> DataFrame:
 def source_sink_pairs(uses: DataFrame, roles: DataFrame, paths: DataFrame) -> DataFrame:
     """(item_id, source_api, sink_api, source_caller, sink_caller) joined by a path; an API that is source and
     sink is a sink only of itself."""
-    of = lambda role: F.broadcast(roles.where(F.col("role") == role).select("api").distinct())  # noqa: E731  rows of a role table
-    both = [r["api"] for r in of("source").join(of("sink"), "api").collect()]
-    src = uses.join(of("source"), "api").select("item_id", F.col("api").alias("source_api"), F.col("caller").alias("source_caller"))
-    snk = uses.join(of("sink"), "api").select("item_id", F.col("api").alias("sink_api"), F.col("caller").alias("sink_caller"))
+    flags = roles.groupBy("api").agg(F.bool_or(F.col("role") == "source").alias("is_source"), F.bool_or(F.col("role") == "sink").alias("is_sink"))
+    used = uses.join(flags, "api")
+    src = used.where("is_source").select("item_id", F.col("api").alias("source_api"), F.col("caller").alias("source_caller"))
+    snk = used.where("is_sink").select("item_id", F.col("api").alias("sink_api"), F.col("caller").alias("sink_caller"), F.col("is_source").alias("__both"))
     ends = paths.select("item_id", F.col("start").alias("source_caller"), F.col("end").alias("sink_caller")).distinct()
     pairs = src.join(ends, ["item_id", "source_caller"]).join(snk, ["item_id", "sink_caller"])
-    return pairs.where((F.col("source_api") == F.col("sink_api")) | ~F.col("sink_api").isin(both)).distinct()
+    return pairs.where((F.col("source_api") == F.col("sink_api")) | ~F.col("__both")).drop("__both").distinct()
 
 
 def sink_paths(uses: DataFrame, sinks: DataFrame, paths: DataFrame) -> DataFrame:
     """Every path to a function with each sink API it calls."""
-    hits = uses.join(F.broadcast(sinks.select("api").distinct()), "api", "left_semi").select("item_id", F.col("caller").alias("end"), F.col("api").alias("sink_api"))
+    hits = uses.join(sinks.select("api").distinct(), "api", "left_semi").select("item_id", F.col("caller").alias("end"), F.col("api").alias("sink_api"))
     return paths.join(hits, ["item_id", "end"]).select("item_id", "sink_api", F.col("end").alias("sink_caller"), "path")
 
 
@@ -144,9 +153,9 @@ def global_lookup(asked: DataFrame, globals_: DataFrame) -> DataFrame:
 
 
 def append_new(old: DataFrame, new: DataFrame, chain: str = "call_chain", order: str = "seq") -> DataFrame:
-    """``old`` and the new rows whose chain is neither empty, nor in ``old``, nor repeated among the new."""
-    fresh = new.where(F.size(chain) > 0).join(old.select(chain).distinct(), chain, "left_anti")
-    return old.unionByName(first_by(fresh, [chain], [order]).select(*old.columns))
+    """``old`` and the new rows whose chain is neither empty, nor in ``old``, nor repeated among the new of its item."""
+    fresh = new.where(F.size(chain) > 0).join(old.select("item_id", chain).distinct(), ["item_id", chain], "left_anti")
+    return old.unionByName(first_by(fresh, ["item_id", chain], [order]).select(*old.columns))
 
 
 def without_prefixes(chains: DataFrame, chain: str = "path") -> DataFrame:
@@ -167,14 +176,19 @@ def body(pcode: Column) -> Column:
     """A body without its name line and signature; null stays null, empty stays empty."""
     lines = F.filter(F.split(pcode, r"\R"), lambda x: ~x.startswith("Real symbol name:"))
     signed = F.get(lines, F.lit(0)).rlike(r"^[^;{=]*\([^;]*\)\s*\{?\s*$")
-    return F.trim(F.array_join(F.when(signed, F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines), "\n"))
+    return stripped(F.array_join(F.when(signed, F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines), "\n"))
+
+
+#: Leads come in the order in which capped paths are taken: the shortest chain first, then by names.
+LEAD_ORDER = ("n_chain", "call_chain", "sink_api")
 
 
-def leaf_distinct(leads: DataFrame, order: str = "lead_id") -> DataFrame:
+def leaf_distinct(leads: DataFrame, order: tuple[str, ...] = ("lead_id",)) -> DataFrame:
     """Of leads that differ only in the name of an equal leaf body the first stays; empty chains and null bodies all stay."""
     known = leads.withColumn("__b", body(F.try_element_at("pcode_list", F.lit(-1))))
     loose = (F.size("call_chain") == 0) | F.col("__b").isNull()
-    w = Window.partitionBy("item_id", F.slice("call_chain", F.lit(1), F.greatest(F.size("call_chain") - 1, F.lit(0))), "__b").orderBy(order)
+    by = [F.size("call_chain") if c == "n_chain" else F.col(c) for c in order]
+    w = Window.partitionBy("item_id", F.slice("call_chain", F.lit(1), F.greatest(F.size("call_chain") - 1, F.lit(0))), "__b").orderBy(*by)
     firm = known.where(~loose).withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
     return firm.unionByName(known.where(loose)).drop("__b")
 

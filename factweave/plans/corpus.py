@@ -42,12 +42,13 @@ def a1_errors(spark, d):
     return aggregates.error_histogram(_runs(spark, d))
 
 
-@query("a2_merge_imports", "SELECT func, r.lib AS lib, r.proto AS proto FROM (SELECT func, list_reduce(list({'lib': lib, 'proto': proto} ORDER BY path, pos), lambda o, n: CASE WHEN len(n.proto) > len(o.proto) THEN n WHEN lower(o.lib) = 'dynsym' AND lower(n.lib) <> 'dynsym' AND n.lib <> '' THEN n ELSE o END) AS r FROM (SELECT split_part(p_name, ' ', 1) AS func, CASE WHEN p_size % 3 = 0 THEN 'dynsym' ELSE p_brand END AS lib, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END AS proto, p_brand AS path, p_partkey AS pos FROM part) GROUP BY func)")
+@query("a2_merge_imports", "SELECT func, r.lib AS lib, r.proto AS proto FROM (SELECT func, list_reduce(list({'lib': lib, 'proto': proto} ORDER BY path, pos), lambda o, n: CASE WHEN len(trim(n.proto)) > len(trim(o.proto)) THEN n WHEN trim(o.lib) IN ('dynsym', '.dynsym') AND trim(n.lib) NOT IN ('', 'dynsym', '.dynsym') THEN n ELSE o END) AS r FROM (SELECT split_part(p_name, ' ', 1) AS func, CASE p_size % 5 WHEN 0 THEN 'dynsym' WHEN 1 THEN ' .dynsym ' WHEN 2 THEN '' ELSE p_brand END AS lib, CASE WHEN p_size % 2 = 0 THEN '   ' ELSE substr(p_type, 1, 4 + p_size % 3) END AS proto, p_type AS path, p_partkey AS pos FROM part) GROUP BY func)")
 def a2(spark, d):
+    # Few different entries a name, so that the same ones come again and again.
     p = table(spark, d, "part")
-    lib = F.when(F.col("p_size") % 3 == 0, "dynsym").otherwise(F.col("p_brand"))
-    proto = F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_type"))
-    return aggregates.merge_imports(p.select(F.substring_index("p_name", " ", 1).alias("func"), lib.alias("lib"), proto.alias("proto"), F.col("p_brand").alias("path"), F.col("p_partkey").alias("pos")))
+    lib = F.when(F.col("p_size") % 5 == 0, "dynsym").when(F.col("p_size") % 5 == 1, " .dynsym ").when(F.col("p_size") % 5 == 2, "").otherwise(F.col("p_brand"))
+    proto = F.when(F.col("p_size") % 2 == 0, "   ").otherwise(F.substring(F.col("p_type"), F.lit(1), 4 + F.col("p_size") % 3))
+    return aggregates.merge_imports(p.select(F.substring_index("p_name", " ", 1).alias("func"), lib.alias("lib"), proto.alias("proto"), F.col("p_type").alias("path"), F.col("p_partkey").alias("pos")))
 
 
 @query("k3_import_list", "SELECT split_part(p_name, ' ', 1) AS func, '{\"lib\":\"' || max(p_brand) || '\",\"proto\":\"' || max(p_type) || '\"}' AS json FROM part GROUP BY 1")
@@ -99,11 +100,11 @@ def f5(spark, d):
     return table(spark, d, "part").select("p_partkey", exprs.operand_type(op).alias("kind"))
 
 
-@query("f6_insn_tokens", "SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (tok = 'JCC') AS n_jcc FROM (SELECT doc_id, CASE WHEN m IN ('jmp', 'jmpq', 'jmpl') THEN 'JMP' WHEN m[1:1] = 'j' THEN 'JCC' ELSE m END AS tok FROM (SELECT doc_id, line, lower(regexp_extract(line, '^([^ \\t]+)', 1)) AS m FROM (SELECT doc_id, trim(regexp_replace(trim(unnest(string_split(text, chr(10)))), ';.*$', '')) AS line FROM documents) WHERE line <> '' AND line NOT LIKE '%:' AND line NOT LIKE '.%') WHERE m <> 'nop' AND NOT regexp_matches(m, '^(loc_|sub_|off_)')) GROUP BY doc_id")
+@query("f6_insn_tokens", "SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (tok = 'JCC') AS n_jcc, count(*) FILTER (tok = '') AS n_blank FROM (SELECT doc_id, CASE WHEN m IN ('jmp', 'jmpq', 'jmpl') THEN 'JMP' WHEN m[1:1] = 'j' THEN 'JCC' ELSE m END AS tok FROM (SELECT doc_id, line, lower(regexp_extract(line, '^([^ \\t]+)', 1)) AS m FROM (SELECT doc_id, trim(regexp_replace(trim(chr(9) || unnest(string_split(text, chr(10))) || chr(9), ' ' || chr(9) || chr(13)), ';.*$', ''), ' ' || chr(9) || chr(13)) AS line FROM documents) WHERE line <> '' AND line NOT LIKE '%:' AND line NOT LIKE '.%') WHERE m <> 'nop' AND NOT regexp_matches(m, '^(loc_|sub_|off_)')) GROUP BY doc_id")
 def f6(spark, d):
-    code = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.lit("f").alias("func"), F.col("text").alias("disasm"))
+    code = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.lit("f").alias("func"), F.regexp_replace("text", "(?m)^(.*)$", "\t$1\t").alias("disasm"))
     none = spark.createDataFrame([], "item_id bigint, api string"), spark.createDataFrame([], "item_id bigint, name string")
-    return exprs.insn_tokens(code, *none).groupBy(F.col("item_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("token") == "JCC").alias("n_jcc"))
+    return exprs.insn_tokens(code, *none).groupBy(F.col("item_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("token") == "JCC").alias("n_jcc"), F.count_if(F.col("token") == "").alias("n_blank"))
 
 
 @query("a7_token_histogram", "SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY ALL")
@@ -123,12 +124,12 @@ def f20(spark, d):
     return exprs.chunks(table(spark, d, "orders"), 7, "o_orderkey", by=("o_orderpriority",)).select("o_orderkey", "chunk")
 
 
-@query("d5_body", "SELECT doc_id, md5(trim(array_to_string(CASE WHEN regexp_matches(l[1], '^[^;{=]*\\([^;]*\\)\\s*\\{?\\s*$') THEN l[2:] ELSE l END, chr(10)), ' ')) AS h FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+@query("d5_body", "SELECT doc_id, md5(trim(array_to_string(CASE WHEN regexp_matches(l[1], '^[^;{=]*\\([^;]*\\)\\s*\\{?\\s*$') THEN l[2:] ELSE l END, chr(10)), ' ' || chr(9) || chr(10) || chr(13))) AS h FROM (SELECT doc_id, string_split(text || chr(10) || chr(9), chr(10)) AS l FROM documents)")
 def d5(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(relational.body(F.col("text"))).alias("h"))
+    return table(spark, d, "documents").select("doc_id", F.md5(relational.body(F.concat("text", F.lit("\n\t")))).alias("h"))
 
 
-@query("f12_json_text")
+@query("f12_json_text", "SELECT event_id, props AS json FROM events")
 def f12(spark, d):
     ev = table(spark, d, "events").select("event_id", F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```")).alias("reply"))
     return exprs.json_objects(ev, "reply", "json").select("event_id", "json")
@@ -136,7 +137,7 @@ def f12(spark, d):
 
 @query("f13_first_object", "SELECT event_id, props AS json FROM events")
 def f13(spark, d):
-    ev = table(spark, d, "events").select("event_id", F.concat(F.lit("<think>{}</think> {bad} "), "props", F.lit(" tail")).alias("reply"))
+    ev = table(spark, d, "events").select("event_id", F.concat(F.lit("{\"k\": 0} before </think> <think>{}</think> {bad} "), "props", F.lit(" tail")).alias("reply"))
     return exprs.json_objects(ev, "reply", "json", ("k",)).select("event_id", "json")
 
 
@@ -198,15 +199,26 @@ def o10(spark, d):
     return gating.one_shot(turns.withColumn("valid", F.lit(True))).select("lead_id", "O1")
 
 
-@query("f16_cwe_title", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'CWE-121: Stack-based Buffer Overflow' WHEN 1 THEN 'CWE-78: OS Command Injection' ELSE 'CWE-999' END AS title FROM part")
+# Fixed values, stated once more from the definition: weakness classes and their titles.
+TITLES = [("121", "Stack-based Buffer Overflow"), ("122", "Heap-based Buffer Overflow"), ("78", "OS Command Injection"), ("134", "Use of Externally-Controlled Format String"), ("789", "Memory Allocation with Excessive Size Value"), ("787", "Out-of-bounds Write"), ("125", "Out-of-bounds Read"), ("476", "NULL Pointer Dereference"), ("369", "Divide By Zero"), ("190", None)]
+
+
+@query("f16_cwe_title", "SELECT p_partkey, CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN 'CWE-{c}{': ' + t if t else ''}'" for k, (c, t) in enumerate(TITLES)) + " END AS title FROM part")
 def f16(spark, d):
-    return table(spark, d, "part").select("p_partkey", exprs.cwe_title(F.expr("case p_size % 3 when 0 then '121' when 1 then '78' else '999' end")).alias("title"))
+    code = F.get(F.array(*[F.lit(c) for c, _ in TITLES]), F.col("p_partkey").cast("int") % 10)
+    return table(spark, d, "part").select("p_partkey", exprs.cwe_title(code).alias("title"))
+
 
+CODES = ["x = alloca(8)", "malloca(8)", "SLOBYTE (v1)", "BYTE1(v2)", "my_HIWORD(v3)", "operator  new(4)", "__readfsqword(0x28)", "DWORDn(v)"]
+CODE_AT = "list_extract([" + ", ".join(f"'{c}'" for c in CODES) + "], CAST(doc_id % 8 + 1 AS INTEGER))"
 
-@query("p12_hints", "SELECT doc_id, contains(text, '__readfsqword(') AS reads_guard, regexp_matches(text, '(^|[^A-Za-z0-9])alloca\\(') AS uses_alloca FROM documents")
+
+@query("p12_hints", f"SELECT doc_id, cwe = '121' AND contains(t, '__readfsqword(') AS reads_guard, cwe = '121' AND regexp_matches(t, '(^|[^A-Za-z0-9])alloca\\(') AS uses_alloca, cwe = '121' AND regexp_matches(t, '(^|[^A-Za-z0-9_])S?(LO|HI)?(BYTE|WORD|DWORD)([0-9]+|n)?\\s*\\(') AS partial_word, cwe = '122' AND regexp_matches(t, 'operator\\s+new\\(') AS uses_new FROM (SELECT doc_id, text || ' ' || {CODE_AT} AS t, CASE WHEN doc_id % 3 = 0 THEN '122' ELSE '121' END AS cwe FROM documents)")
 def p12(spark, d):
-    h = relational.hints(F.col("text"), F.lit("122"))
-    return table(spark, d, "documents").select("doc_id", h["reads_guard"].alias("reads_guard"), h["uses_alloca"].alias("uses_alloca"))
+    docs = table(spark, d, "documents")
+    said = F.concat("text", F.lit(" "), F.get(F.array(*[F.lit(c) for c in CODES]), (F.col("doc_id") % 8).cast("int")))
+    h = relational.hints(said, F.when(F.col("doc_id") % 3 == 0, "122").otherwise("121"))
+    return docs.select("doc_id", *[c.alias(k) for k, c in h.items()])
 
 
 def _vectors(spark, d):
@@ -306,9 +318,9 @@ def f2(spark, d):
     return exprs.api_category(named, api_categories(spark)).select("p_partkey", "category")
 
 
-@query("f7_strip_prefix", "SELECT p_partkey, regexp_replace(regexp_replace(x, '^\\.+', ''), '^(__imp_|_imp_)', '') AS name FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '.' WHEN 1 THEN '__imp_' WHEN 2 THEN '._imp_' ELSE '' END || p_name AS x FROM part)")
+@query("f7_strip_prefix", "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(x, '^\\.', ''), '^_imp_', ''), '^__imp_', '') AS name FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '..' WHEN 1 THEN '__imp_' WHEN 2 THEN '._imp_' ELSE '' END || p_name AS x FROM part)")
 def f7(spark, d):
-    name = F.concat(F.expr("case p_size % 4 when 0 then '.' when 1 then '__imp_' when 2 then '._imp_' else '' end"), "p_name")
+    name = F.concat(F.expr("case p_size % 4 when 0 then '..' when 1 then '__imp_' when 2 then '._imp_' else '' end"), "p_name")
     return table(spark, d, "part").select("p_partkey", exprs.strip_prefix(name).alias("name"))
 
 
@@ -317,17 +329,39 @@ def f11(spark, d):
     return table(spark, d, "part").select("p_partkey", exprs.int_ascii(F.lit(256) + F.col("p_partkey") % 32000).alias("text"))
 
 
-@query("f14_evidence_text", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Pseudo-code of f: ' || text ELSE 'Disassembly of f: ' || text END AS said FROM conversations")
+@query(
+    "f14_evidence_text",
+    """SELECT p_partkey, CASE p_size % 5
+      WHEN 0 THEN p_partkey || '.stack_lvar for Function: f | Variable: v' || chr(10) || 'The local variable is stored in the ' || place || '.' || chr(10) || 'Its data type is ' || p_type || ', with a size of ' || p_size || ' bytes.' || CASE WHEN place = 'Stack' THEN chr(10) || 'It is located ' || p_size || ' bytes away from the return address and has an offset of None from the stack pointer.' ELSE '' END
+      WHEN 1 THEN p_partkey || '.global_var for Variable: v' || chr(10) || 'The global variable has type ' || p_type || ' and size ' || p_size || ' bytes, located at address 0x10.' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'It is referenced by the following functions: a, ' || p_brand ELSE '' END
+      WHEN 2 THEN p_partkey || '.inner_call for Function: f' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'It internally calls a, which is classified as USER_DEF.' || chr(10) || 'It internally calls ' || p_brand || ', which is classified as OTHER.' ELSE '' END
+      WHEN 3 THEN p_partkey || '.fetch_pcode for Function: f' || chr(10) || 'The function''s decompiled P-code is: ' || p_name
+      ELSE p_partkey || '.fetch_disasm for Function: f' || chr(10) || 'The function''s disassembly is: ' || p_name END AS said
+    FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'Stack' ELSE 'Register' END AS place FROM part)""",
+)
 def f14(spark, d):
-    kind = F.when(F.col("role") == "user", "fetch_pcode").otherwise("fetch_disasm")
-    params = F.create_map(F.lit("pcode"), "text", F.lit("ehasm"), "text")
-    return table(spark, d, "conversations").select("conv_id", "turn", exprs.render_evidence(kind, F.lit("f"), F.lit("v"), params).alias("said"))
+    kinds = ["stack_lvar", "global_var", "inner_call", "fetch_pcode", "fetch_disasm"]
+    even, size = F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")
+    given = {"reg_or_stack": F.when(even, "Stack").otherwise("Register"), "lvar_type": F.col("p_type"), "lvar_size": size, "dist_to_ret": size, "global_var_type": F.col("p_type"), "global_var_size": size, "addr_ea": F.lit("0x10"), "pcode": F.concat("p_name", F.lit("\n\n")), "ehasm": F.col("p_name")}
+    params = F.create_map(*[x for k, v in given.items() for x in (F.lit(k), v)])
+    call = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("kind"))
+    calls = F.when(even, F.array(call(F.lit("a"), "USER_DEF"), call(F.col("p_brand"), "OTHER"))).otherwise(F.array().cast("array<struct<name:string,kind:string>>"))
+    refs = F.when(even, F.array(F.lit("a"), "p_brand")).otherwise(F.array().cast("array<string>"))
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), F.col("p_size").cast("int") % 5)
+    return table(spark, d, "part").select("p_partkey", exprs.render_evidence(F.col("p_partkey"), kind, F.lit("f"), F.lit("v"), params, calls, refs).alias("said"))
+
+
+@query("f15_import_sentences", "SELECT p_brand, string_agg('The ' || p_name || ' API comes from ' || CASE WHEN p_size % 3 = 0 THEN 'UNKNOWN' ELSE p_type END || '; its function prototype is ' || chr(39) || CASE WHEN p_size % 2 = 0 THEN 'UNKNOWN' ELSE p_type END || chr(39) || ';', chr(10) ORDER BY p_partkey) AS said FROM part GROUP BY p_brand")
+def f15(spark, d):
+    one = F.struct("p_partkey", F.col("p_name").alias("func"), F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("lib"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_type")).alias("proto"))
+    lists = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    return lists.select("p_brand", exprs.import_sentences(F.col("l")).alias("said"))
 
 
-@query("f15_numbered", "SELECT conv_id, string_agg(i || '. ' || role, chr(10) ORDER BY turn) AS list FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY conv_id")
-def f15(spark, d):
-    lists = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("l"))
-    return lists.select("conv_id", exprs.numbered(F.col("l.role")).alias("list"))
+@query("f15_code_text", "SELECT conv_id, rtrim(string_agg(text, chr(10) || chr(10) ORDER BY turn), chr(10)) AS said FROM conversations GROUP BY conv_id")
+def f15_code(spark, d):
+    lists = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    return lists.select("conv_id", exprs.code_text(F.concat(F.col("l.text"), F.array(F.lit("")))).alias("said"))
 
 
 @query("f17_render", "SELECT page_id, 'Page ' || page_id || ' at ' || url || '.' AS text FROM pages")
@@ -341,12 +375,18 @@ def f18(spark, d):
     return table(spark, d, "part").select("p_partkey", exprs.signal_name(F.expr("case p_size % 3 when 0 then 11 when 1 then 6 else 77 end")).alias("name"))
 
 
-@query("f19_gate_text", "SELECT p_partkey, 'O1: ' || array_to_string(list_sort(list_distinct([p_brand, p_type, p_brand])), ', ') || chr(10) || 'O2: ' || p_name AS text FROM part")
+@query("f19_gate_text", "SELECT p_partkey, 'Minimum Primitive Set for Satisfying Obligation Requirements:' || chr(10) || 'O1''s minimum primitive set: [' || array_to_string(list_sort(list_distinct([p_brand, p_type, p_brand])), ', ') || ']' || chr(10) || 'O2''s minimum primitive set: [' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END || ']' AS text FROM part")
 def f19(spark, d):
-    gates = F.create_map(F.lit("O2"), F.array("p_name"), F.lit("O1"), F.array("p_brand", "p_type", "p_brand"))
+    gates = F.create_map(F.lit("O2"), F.when(F.col("p_size") % 2 == 0, F.array("p_name")).otherwise(F.array().cast("array<string>")), F.lit("O1"), F.array("p_brand", "p_type", "p_brand"))
     return table(spark, d, "part").select("p_partkey", exprs.gate_text(gates).alias("text"))
 
 
+@query("f22_error_hint", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || chr(10) WHEN p_size % 3 = 1 THEN p_name || chr(10) || chr(10) || 'Obligation-status update gate check failed for O2; please re-update ONLY these obligations and ensure update_from cites at least one evidence ID whose query_type matches each obligation''s minimum primitive set.' ELSE p_name || chr(10) || chr(10) || 'Obligation-status update gate check failed for O4,O1; please re-update ONLY these obligations and ensure update_from cites at least one evidence ID whose query_type matches each obligation''s minimum primitive set.' END AS text FROM part")
+def f22(spark, d):
+    failed = F.expr("case p_size % 3 when 0 then cast(array() as array<string>) when 1 then array('O2') else array('O4', 'O1') end")
+    return table(spark, d, "part").select("p_partkey", exprs.error_hint(F.concat("p_name", F.lit("\n")), failed).alias("text"))
+
+
 @query("a15_sinks_in_sources", "SELECT count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS n_sink_in_source, count(*) AS n_leads FROM orders")
 def a15(spark, d):
     sources = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "api string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 SINKS, SOURCES = ["__k1", "__k7"], ["__k7", "__k3"]
 CODE_SQL = """,
-code AS (SELECT item_id, fn AS func, fn || '(a1)' || chr(10) || '{' || chr(10) || '  v1 = ' || (min(k) % 3) || ';' || chr(10) || '  p = ' || CASE WHEN max(k) % 2 = 0 THEN ' alloca(8)' ELSE '0' END || ';' || chr(10) || '}' AS pcode FROM ev GROUP BY item_id, fn),
+code AS (SELECT item_id, fn AS func, fn || '(a1)' || chr(10) || '{' || chr(10) || chr(9) || ' v1 = ' || (min(k) % 3) || ';' || chr(10) || '  p = ' || CASE WHEN max(k) % 2 = 0 THEN ' alloca(8)' ELSE '0' END || ';' || chr(10) || '}' AS pcode FROM ev GROUP BY item_id, fn),
 uses AS (SELECT DISTINCT item_id, caller, '__k' || substr(callee, 5) AS api FROM calls WHERE cat = 'IMPORT_API')
 """
 REACH_SQL = """,
@@ -45,14 +47,30 @@ def query(name: str, sql: str | None = None, head: str = ""):
 
 
 class Facts:
-    """The adapters of one run; what several operators read is written once."""
+    """The adapters of one run. Events and calls, which most operators read several times, are written once."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.events = facts.events(spark, d)
-        self.calls = facts.calls(spark, d)
-        self.entries = facts.entries(spark, d)
-        self.sizes = facts.sizes(spark, d)
-        self.edges = graph.user_graph(self.calls)
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return stored(facts.events(self.spark, self.d), "events")
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return stored(facts.calls(self.events), "calls")
+
+    @property
+    def entries(self) -> DataFrame:
+        return facts.entries(self.events)
+
+    @property
+    def sizes(self) -> DataFrame:
+        return facts.sizes(self.events)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return stored(graph.user_graph(self.calls), "edges")
 
     @property
     def starts(self) -> DataFrame:
@@ -61,14 +79,14 @@ class Facts:
     @property
     def code(self) -> DataFrame:
         grab = F.when(F.max("k") % 2 == 0, " alloca(8)").otherwise("0")
-        pcode = F.concat(F.col("fn"), F.lit("(a1)\n{\n  v1 = "), (F.min("k") % 3).cast("string"), F.lit(";\n  p = "), grab, F.lit(";\n}"))
+        pcode = F.concat(F.col("fn"), F.lit("(a1)\n{\n\t v1 = "), (F.min("k") % 3).cast("string"), F.lit(";\n  p = "), grab, F.lit(";\n}"))
         return self.events.groupBy("item_id", "fn").agg(pcode.alias("pcode")).withColumnRenamed("fn", "func")
 
     @property
     def uses(self) -> DataFrame:
         return self.calls.where("cat = 'IMPORT_API'").select("item_id", "caller", exprs.norm_api(F.col("callee")).alias("api")).distinct()
 
-    @property
+    @cached_property
     def paths(self) -> DataFrame:
         return stored(graph.simple_paths(self.edges, self.starts), "paths")
 
@@ -143,10 +161,66 @@ def g7(spark, d):
 CONDENSED = "SELECT DISTINCT e.item_id, a.comp AS ci, b.comp AS cj FROM edges e JOIN comps a ON a.item_id = e.item_id AND a.name = e.src JOIN comps b ON b.item_id = e.item_id AND b.name = e.dst WHERE a.comp <> b.comp"
 
 
-@query("g8_condensation", CONDENSED, MUTUAL_SQL)
+def trade(name: str, sql: str, head: str = ""):
+    """As ``query``, over the sparse graphs of ``facts.trade``."""
+
+    def put(f):
+        QUERIES[name] = f
+        ORACLES[name] = f"WITH RECURSIVE {facts.TRADE_SQL}{head} {sql}"
+        return f
+
+    return put
+
+
+def _trade(spark, d) -> tuple[DataFrame, DataFrame]:
+    li = facts.trade(spark, d)
+    return stored(li.select("item_id", "src", "dst").distinct(), "trade"), facts.trade_entries(li)
+
+
+@trade("g8_condensation", CONDENSED, MUTUAL_SQL)
 def g8(spark, d):
-    f = Facts(spark, d)
-    return graph.condensation(f.edges, graph.scc(f.edges))
+    edges, _ = _trade(spark, d)
+    return graph.condensation(edges, graph.scc(edges))
+
+
+@trade("g7_scc_sparse", "SELECT item_id, name, comp FROM comps", MUTUAL_SQL)
+def g7_sparse(spark, d):
+    return graph.scc(_trade(spark, d)[0])
+
+
+@trade("g4_reachable_sparse", "SELECT item_id, name FROM reach", REACH_SQL)
+def g4_sparse(spark, d):
+    return graph.reachable(*_trade(spark, d)).select("item_id", "name")
+
+
+@trade("p1_reachable_functions", "SELECT n.item_id, n.name FROM fnodes n JOIN reach r USING (item_id, name)", REACH_SQL + ", fnodes AS (SELECT item_id, src AS name FROM edges UNION SELECT item_id, dst FROM edges)")
+def p1(spark, d):
+    edges, entries = _trade(spark, d)
+    return relational.reachable_functions(graph.nodes(edges), graph.reachable(edges, entries), entries).select("item_id", "name")
+
+
+@trade("g13_local_taint", "SELECT DISTINCT item_id, name AS var FROM t", """,
+calls AS (SELECT DISTINCT item_id, seq // 10 % 199 AS call_id, src AS var FROM li),
+flow AS (SELECT item_id, src AS a, dst AS b FROM edges UNION SELECT x.item_id, x.var, y.var FROM calls x JOIN calls y ON y.item_id = x.item_id AND y.call_id = x.call_id),
+t AS (SELECT item_id, entry AS name, 0 AS n FROM entries UNION SELECT t.item_id, f.b, t.n + 1 FROM t JOIN flow f ON f.item_id = t.item_id AND f.a = t.name WHERE t.n < 2)
+""")
+def g13(spark, d):
+    # Line items of one order number are the arguments of one call; two passes leave much untainted.
+    li = facts.trade(spark, d)
+    named = li.select("item_id", F.lit("f").alias("func"), "src", "dst", (F.floor(F.col("seq") / 10) % 199).alias("call_id"))
+    assigns = named.select("item_id", "func", F.col("dst").alias("lhs"), F.col("src").alias("rhs"))
+    args = named.select("item_id", "func", "call_id", F.col("src").alias("var"))
+    seeds = facts.trade_entries(li).select("item_id", F.lit("f").alias("func"), F.col("entry").alias("var"))
+    return graph.local_taint(assigns, args, seeds, 2).select("item_id", "var")
+
+
+@trade("g9_dag_metrics_sparse", f""", cond AS ({CONDENSED}),
+walk AS (SELECT n.item_id, c.comp, 1 AS len FROM entries n JOIN comps c ON c.item_id = n.item_id AND c.name = n.entry
+  UNION ALL SELECT w.item_id, k.cj, w.len + 1 FROM walk w JOIN cond k ON k.item_id = w.item_id AND k.ci = w.comp)
+SELECT w.item_id, CAST(count(*) AS DOUBLE) AS path_count, CAST(min(len) AS BIGINT) AS min_len, CAST(max(len) AS BIGINT) AS max_len, round(avg(len), 6) AS avg_len, count(DISTINCT comp) AS leaves
+FROM walk w WHERE NOT EXISTS (SELECT 1 FROM cond k WHERE k.item_id = w.item_id AND k.ci = w.comp) GROUP BY w.item_id""", MUTUAL_SQL)
+def g9_sparse(spark, d):
+    return graph.dag_metrics(*_trade(spark, d)).select("item_id", "path_count", "min_len", "max_len", F.round("avg_len", 6).alias("avg_len"), "leaves")
 
 
 @query(
@@ -192,28 +266,21 @@ def g12(spark, d):
     return graph.table_edges(tables, ev.select("item_id", F.col("k").alias("start_ea"), F.col("fn").alias("name")))
 
 
-@query("g13_local_taint", "SELECT item_id, name AS var FROM reach", REACH_SQL)
-def g13(spark, d):
-    f = Facts(spark, d)
-    assigns = f.edges.select("item_id", F.lit("f").alias("func"), F.col("dst").alias("lhs"), F.col("src").alias("rhs"))
-    args = f.entries.select("item_id", F.lit("f").alias("func"), F.lit(1).alias("call_id"), F.col("entry").alias("var"))
-    seeds = f.entries.select("item_id", F.lit("f").alias("func"), F.col("entry").alias("var"))
-    return graph.local_taint(assigns, args, seeds).select("item_id", "var")
+SINK_NAMES = ["error", "purchase"]
 
 
-@query("g14_taint_paths", "SELECT item_id, array_to_string(path, '->') AS path FROM (SELECT *, row_number() OVER (PARTITION BY item_id, last ORDER BY len(path), path) AS k FROM paths WHERE last IN ('error', 'purchase')) WHERE k = 1", PATHS_SQL + "")
+@query("g14_taint_paths", "SELECT item_id, array_to_string(path, '->') AS path FROM (SELECT *, row_number() OVER (PARTITION BY item_id, last ORDER BY len(path), path) AS k FROM paths WHERE last IN ('error', 'purchase') AND NOT list_has_any(path[1:len(path) - 1], ['error', 'purchase'])) WHERE k = 1", PATHS_SQL)
 def g14(spark, d):
     f = Facts(spark, d)
-    paths = f.paths.where(F.col("end").isin("error", "purchase"))
-    best = paths.groupBy("item_id", "end").agg(F.min(F.struct(F.size("path"), "path")).alias("b"))
-    return best.select("item_id", _text("b.path").alias("path"))
+    sinks = graph.nodes(f.edges).where(F.col("name").isin(*SINK_NAMES)).unionByName(f.starts.where(F.col("name").isin(*SINK_NAMES)))
+    return graph.taint_paths(f.edges, f.starts, sinks).select("item_id", _text().alias("path"))
 
 
 @query("g15_splice", "SELECT p.item_id, array_to_string(list_concat(p.path[1:len(p.path) - 1], [p.last, 'end']), '->') AS path FROM (SELECT *, row_number() OVER (PARTITION BY item_id, last ORDER BY len(path), path) AS k FROM paths) p WHERE k = 1", PATHS_SQL)
 def g15(spark, d):
-    paths = Facts(spark, d).paths
-    chains = paths.select("item_id", F.array("end", F.lit("end")).alias("path")).distinct()
-    return graph.splice(paths, chains).select("item_id", _text().alias("path"))
+    f = Facts(spark, d)
+    best = stored(graph.shortest_paths(f.edges, f.starts), "g15")
+    return graph.splice(best, best.select("item_id", F.array("end", F.lit("end")).alias("path"))).select("item_id", _text().alias("path"))
 
 
 @query("g16_chain_package", "SELECT item_id, array_to_string(path, '->') AS chain, CAST(len(path) AS BIGINT) AS n_code FROM paths p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.item_id = p.item_id AND e.src = p.last AND NOT list_contains(p.path, e.dst))", PATHS_SQL)
@@ -250,11 +317,11 @@ def a11(spark, d):
     return aggregates.call_sites(Facts(spark, d).calls)
 
 
-@query("a12_smoke_rollup", ", t AS (SELECT item_id, ln, fn, count(*) OVER (PARTITION BY item_id) AS total, min(CASE WHEN fn = 'error' THEN ln END) OVER (PARTITION BY item_id) AS first FROM ev) SELECT item_id, CASE WHEN max(first) IS NOT NULL THEN 'signal' WHEN count(*) FILTER (fn = 'view') = max(total) THEN 'timeout' ELSE 'normal' END AS status, count(*) AS executed, count(*) FILTER (fn = 'view') AS timeouts FROM t WHERE first IS NULL OR ln <= first GROUP BY item_id")
+@query("a12_smoke_rollup", ", t AS (SELECT l_orderkey AS item_id, l_linenumber AS ln, l_returnflag AS r, count(*) OVER (PARTITION BY l_orderkey) AS total, min(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS first FROM lineitem) SELECT item_id, CASE WHEN max(first) IS NOT NULL THEN 'signal' WHEN count(*) FILTER (r = 'A') = max(total) THEN 'timeout' ELSE 'normal' END AS status, count(*) AS executed, count(*) FILTER (r = 'A') AS timeouts, CAST(CASE WHEN max(first) IS NOT NULL THEN 11 END AS INTEGER) AS signal FROM t WHERE first IS NULL OR ln <= first GROUP BY item_id")
 def a12(spark, d):
-    ev = Facts(spark, d).events
-    outcome = F.when(F.col("fn") == "error", "signal").when(F.col("fn") == "view", "timeout").otherwise("normal")
-    return aggregates.smoke_rollup(ev.select("item_id", F.col("ln").alias("seq"), outcome.alias("outcome"), F.lit(11).alias("signal"))).drop("signal")
+    li = facts.table(spark, d, "lineitem")
+    outcome = F.when(F.col("l_returnflag") == "R", "signal").when(F.col("l_returnflag") == "A", "timeout").otherwise("normal")
+    return aggregates.smoke_rollup(li.select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("seq"), outcome.alias("outcome"), F.lit(11).alias("signal")))
 
 
 @query("a13_global_refs", "SELECT item_id, k AS addr_ea, count(DISTINCT (fn, ln % 7)) AS n_refs FROM ev GROUP BY ALL")
@@ -270,12 +337,6 @@ def a16(spark, d):
     return aggregates.usage_lines(uses).select("item_id", "func", "var", F.array_join(F.array_sort(F.transform("usage_lines", lambda x: x.cast("string"))), ",").alias("lines"))
 
 
-@query("p1_reachable_functions", "SELECT f.item_id, f.name, f.size FROM funcs f JOIN reach r USING (item_id, name)", REACH_SQL)
-def p1(spark, d):
-    f = Facts(spark, d)
-    return relational.reachable_functions(f.sizes, graph.reachable(f.edges, f.entries), f.entries).select("item_id", "name", "size")
-
-
 @query("p3_api_uses", ", o AS (SELECT item_id, caller, callee AS api, min(ln) AS ln FROM calls WHERE cat = 'IMPORT_API' GROUP BY ALL) SELECT item_id, caller, api, CAST(row_number() OVER (PARTITION BY item_id, caller ORDER BY ln, api) AS INTEGER) AS seq FROM o")
 def p3(spark, d):
     return relational.api_uses(Facts(spark, d).calls)
@@ -297,16 +358,17 @@ def p6(spark, d):
     return Facts(spark, d).code.select("item_id", "func", relational.writes_memory(F.col("pcode")).alias("writes"))
 
 
-@query("p11_meaningful_lines", "SELECT item_id, func, CAST(len(list_filter(list_transform(string_split(pcode, chr(10)), lambda x: trim(x)), lambda x: x NOT IN ('', '{', '}', 'else', 'do'))) AS BIGINT) AS n FROM code", CODE_SQL)
+@query("p11_meaningful_lines", "SELECT item_id, func, array_to_string(list_filter(list_transform(string_split(pcode, chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x NOT IN ('', '{', '}', 'else', 'do')), '|') AS lines FROM code", CODE_SQL)
 def p11(spark, d):
-    return Facts(spark, d).code.select("item_id", "func", F.size(relational.meaningful_lines(F.col("pcode"))).cast("long").alias("n"))
+    return Facts(spark, d).code.select("item_id", "func", F.array_join(relational.meaningful_lines(F.col("pcode")), "|").alias("lines"))
 
 
 @query("j1_source_sink_pairs", "SELECT DISTINCT s.item_id, s.api AS source_api, t.api AS sink_api, s.caller AS source_caller, t.caller AS sink_caller FROM uses s JOIN uses t ON t.item_id = s.item_id JOIN all_paths p ON p.item_id = s.item_id AND p.a = s.caller AND p.b = t.caller WHERE s.api IN ('__k7', '__k3') AND t.api IN ('__k1', '__k7') AND (s.api = t.api OR t.api <> '__k7')", CODE_SQL + ", all_paths AS (SELECT item_id, src AS a, src AS b FROM edges UNION SELECT item_id, dst, dst FROM edges UNION SELECT c.item_id, c.a, e.dst FROM all_paths c JOIN edges e ON e.item_id = c.item_id AND e.src = c.b)")
 def j1(spark, d):
     f = Facts(spark, d)
     roles = facts.roles(spark, [("121", a, "source", "") for a in SOURCES] + [("121", a, "sink", "") for a in SINKS])
-    paths = graph.simple_paths(f.edges, graph.nodes(f.edges))
+    callers = f.uses.join(_apis(spark, SOURCES), "api", "left_semi").select("item_id", F.col("caller").alias("name")).distinct()
+    paths = graph.reachable_pairs(f.edges, callers)
     return relational.source_sink_pairs(f.uses, roles, paths).select("item_id", "source_api", "sink_api", "source_caller", "sink_caller")
 
 
@@ -328,6 +390,13 @@ def j4(spark, d):
     return relational.capped_paths(found, 5).withColumn("path", _text())
 
 
+@query("j4_first_paths", "SELECT item_id, last AS \"end\", array_to_string(path, '->') AS path FROM (SELECT *, row_number() OVER (PARTITION BY item_id, last ORDER BY len(path), path) AS k FROM paths WHERE last IN ('error', 'purchase') AND NOT list_has_any(path[1:len(path) - 1], ['error', 'purchase'])) WHERE k <= 2", PATHS_SQL)
+def j4_first(spark, d):
+    f = Facts(spark, d)
+    ends = graph.nodes(f.edges).where(F.col("name").isin(*SINK_NAMES)).unionByName(f.starts.where(F.col("name").isin(*SINK_NAMES)))
+    return graph.first_paths(f.edges, f.starts, ends, 2).select("item_id", "end", _text().alias("path"))
+
+
 @query("j6_alias_lookup", "SELECT DISTINCT a.item_id, a.fn AS name, coalesce(x.n, y.n) AS n FROM ev a LEFT JOIN (SELECT item_id, fn, count(*) AS n FROM ev WHERE k > 50 GROUP BY ALL) x ON x.item_id = a.item_id AND x.fn = a.fn LEFT JOIN (SELECT item_id, count(*) AS n FROM ev WHERE k > 50 AND fn = 'view' GROUP BY ALL) y ON y.item_id = a.item_id")
 def j6(spark, d):
     ev = Facts(spark, d).events
@@ -352,10 +421,11 @@ def j8(spark, d):
     return relational.global_lookup(ev.select("item_id", F.col("fn").alias("var")).distinct(), known).select("item_id", "var", "type", "size_bytes")
 
 
-@query("j10_append_new", "SELECT item_id, array_to_string(path, '->') AS chain FROM (SELECT item_id, path FROM paths WHERE len(path) <= 2 UNION ALL SELECT min(item_id), path FROM paths WHERE len(path) > 2 GROUP BY path)", PATHS_SQL)
+@query("j10_append_new", "SELECT item_id, array_to_string(path, '->') AS chain FROM paths", PATHS_SQL)
 def j10(spark, d):
-    paths = Facts(spark, d).paths.select("item_id", F.col("path").alias("call_chain"), F.col("item_id").alias("seq"))
-    got = relational.append_new(paths.where(F.size("call_chain") <= 2), paths)
+    # Short chains are known; all come twice again, and each item gets its own longer ones once.
+    paths = Facts(spark, d).paths.select("item_id", F.col("path").alias("call_chain"), F.size("path").alias("seq"))
+    got = relational.append_new(paths.where(F.size("call_chain") <= 2), paths.unionByName(paths))
     return got.select("item_id", _text("call_chain").alias("chain"))
 
 
@@ -390,13 +460,23 @@ bodied AS (SELECT r.*, substr(c.pcode, strpos(c.pcode, chr(10)) + 1) AS body FRO
 """
 
 
-@query("l1_sink_leads", "SELECT item_id, array_to_string(path[1:len(path) - 1], '->') AS prefix, body, count(*) > 0 AS found FROM bodied GROUP BY item_id, path[1:len(path) - 1], body", CODE_SQL + LEADS_SQL)
+FIRST_LEAF = "row_number() OVER (PARTITION BY item_id, path[1:len(path) - 1], body ORDER BY len(path), path, api) = 1"
+
+
+@query("l1_sink_leads", f"SELECT item_id, api AS sink_api, array_to_string(path, '->') AS chain, len(path) AS n_code FROM bodied QUALIFY {FIRST_LEAF}", CODE_SQL + LEADS_SQL)
 def l1(spark, d):
-    got = _leads(Facts(spark, d), spark)
-    return got.select("item_id", F.array_join(F.slice("call_chain", F.lit(1), F.size("call_chain") - 1), "->").alias("prefix"), relational.body(F.element_at("pcode_list", -1)).alias("body"), F.lit(True).alias("found"))
+    return _leads(Facts(spark, d), spark).select("item_id", "sink_api", _text("call_chain").alias("chain"), F.size(F.array_compact("pcode_list")).cast("long").alias("n_code"))
+
 
+WRITES = "len(list_filter(string_split(pcode, chr(10)), lambda x: regexp_matches(x, '^\\s*[^=]+ = .+') AND NOT regexp_matches(x, '^\\s*[^=]+ = (0($|;)|0x0($|;)|0\\.0($|;)|0d($|;)|__readfsqword)'))) > 0"
 
-@query("l2_write_leads")
+
+@query("l2_write_leads", f"SELECT item_id, last AS sink_caller, array_to_string(path, '->') AS chain FROM bodied QUALIFY {FIRST_LEAF}", CODE_SQL + f""",
+ends AS (SELECT item_id, func AS name FROM code WHERE {WRITES}),
+stops AS (SELECT item_id, [entry] AS path, entry AS last, entry IN (SELECT name FROM ends e WHERE e.item_id = entries.item_id) AS stop FROM entries
+  UNION ALL SELECT p.item_id, list_append(p.path, e.dst), e.dst, e.dst IN (SELECT name FROM ends x WHERE x.item_id = p.item_id) FROM stops p JOIN edges e ON e.item_id = p.item_id AND e.src = p.last WHERE NOT p.stop AND NOT list_contains(p.path, e.dst)),
+bodied AS (SELECT s.item_id, s.path, s.last, '' AS api, substr(c.pcode, strpos(c.pcode, chr(10)) + 1) AS body FROM stops s JOIN code c ON c.item_id = s.item_id AND c.func = s.last WHERE s.stop)
+""")
 def l2(spark, d):
     f = Facts(spark, d)
     return leads.write_leads(f.edges, f.entries, f.code).select("item_id", "sink_caller", _text("call_chain").alias("chain"))
@@ -406,7 +486,7 @@ def l2(spark, d):
 def l3(spark, d):
     f = Facts(spark, d)
     callers = f.uses.join(_apis(spark, SINKS), "api", "left_semi").select("item_id", F.col("caller").alias("name")).distinct()
-    paths = graph.simple_paths(f.edges, f.starts, callers)
+    paths = graph.shortest_paths(f.edges, f.starts, callers)  # whether there is a lead needs one path only
     return leads.needs_fallback(relational.sink_paths(f.uses, _apis(spark, SINKS), paths), f.entries, _apis(spark, SOURCES))
 
 
@@ -417,7 +497,10 @@ def l4(spark, d):
     return leads.static_leads(sinks, f.edges, f.entries, f.code).select("item_id", _text("call_chain").alias("chain"))
 
 
-@query("l5_edge_leads")
+@query("l5_edge_leads", "SELECT p.item_id, s.api AS source_api, t.api AS sink_api, array_to_string(p.path, '->') AS chain FROM froms p JOIN uses s ON s.item_id = p.item_id AND s.caller = p.path[1] JOIN uses t ON t.item_id = p.item_id AND t.caller = p.last WHERE s.api IN ('__k7', '__k3') AND t.api IN ('__k1', '__k7') AND (s.api = t.api OR t.api <> '__k7')", CODE_SQL + """,
+froms AS (SELECT DISTINCT item_id, [caller] AS path, caller AS last FROM uses WHERE api IN ('__k7', '__k3')
+  UNION ALL SELECT p.item_id, list_append(p.path, e.dst), e.dst FROM froms p JOIN edges e ON e.item_id = p.item_id AND e.src = p.last WHERE NOT list_contains(p.path, e.dst))
+""")
 def l5(spark, d):
     f = Facts(spark, d)
     roles = facts.roles(spark, [("121", a, "source", "") for a in SOURCES] + [("121", a, "sink", "") for a in SINKS])
@@ -432,7 +515,7 @@ def l6(spark, d):
 
 def _gate_facts(f: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
     chains = f.paths.select("item_id", F.col("path").alias("call_chain")).withColumn("lead_id", F.concat_ws(":", "item_id", _text("call_chain")))
-    locals_ = f.events.select("item_id", F.col("fn").alias("func"), F.when(F.col("k") > 90, F.col("k")).alias("dist_from_ret_addr"))
+    locals_ = f.events.select("item_id", F.col("fn").alias("func"), F.when(F.col("k") <= 90, F.col("k")).alias("reg_id"))
     refs = f.events.where("k < 10").select("item_id", F.col("fn").alias("function_name"))
     return chains, locals_, refs
 
@@ -451,13 +534,13 @@ flags AS (SELECT lead_id, bool_or(EXISTS (SELECT 1 FROM calls c WHERE c.item_id
 def p8(spark, d):
     f = Facts(spark, d)
     chains, locals_, refs = _gate_facts(f)
-    return relational.lead_gates(chains, f.calls, locals_, refs, f.code)
+    return relational.lead_gates(chains, f.calls.withColumns({"call_type": F.lower("call_type"), "cat": F.lower("cat")}), locals_, refs, f.code)
 
 
 @query(
     "o1_o3_gates",
     """SELECT lead_id, array_to_string(o1, ',') AS o1, array_to_string(o2, ',') AS o2, array_to_string(o3, ',') AS o3, array_to_string(o4, ',') AS o4, CAST(min(bit_count(b)) AS INTEGER) AS least_size FROM (
-    SELECT f.lead_id, list_filter([CASE WHEN has_indirect AND has_inner THEN 'inner_call' END], lambda x: x IS NOT NULL) AS o1,
+    SELECT f.lead_id, list_filter([CASE WHEN has_indirect THEN 'inner_call' END], lambda x: x IS NOT NULL) AS o1,
     list_filter([CASE WHEN has_global THEN 'global_var' END, CASE WHEN has_inner THEN 'fetch_pcode' END, CASE WHEN has_stack THEN 'stack_lvar' END], lambda x: x IS NOT NULL) AS o2,
     list_filter([CASE WHEN has_global THEN 'global_var' END, CASE WHEN has_inner THEN 'fetch_pcode' END], lambda x: x IS NOT NULL) AS o3,
     list_filter([CASE WHEN has_stack THEN 'stack_lvar' END, CASE WHEN has_alloca THEN 'fetch_disasm' END], lambda x: x IS NOT NULL) AS o4,
@@ -469,7 +552,7 @@ def p8(spark, d):
 def o1(spark, d):
     f = Facts(spark, d)
     chains, locals_, refs = _gate_facts(f)
-    flags = relational.lead_gates(chains, f.calls, locals_, refs, f.code).withColumn("cwe", F.lit("121"))
+    flags = relational.lead_gates(chains, f.calls.withColumns({"call_type": F.lower("call_type"), "cat": F.lower("cat")}), locals_, refs, f.code).withColumn("cwe", F.lit("121"))
     got = gating.least_cover(gating.gates(flags))
     return got.select("lead_id", *[F.array_join(k, ",").alias(k.lower()) for k in gating.KEYS], "least_size")
 
@@ -478,7 +561,7 @@ def o1(spark, d):
 def o4(spark, d):
     f = Facts(spark, d)
     chains, locals_, refs = _gate_facts(f)
-    flags = relational.lead_gates(chains, f.calls, locals_, refs, f.code).withColumn("cwe", F.lit("121"))
+    flags = relational.lead_gates(chains, f.calls.withColumns({"call_type": F.lower("call_type"), "cat": F.lower("cat")}), locals_, refs, f.code).withColumn("cwe", F.lit("121"))
     return gating.refill(gating.gates(flags)).select("lead_id", F.size("O2").alias("n2"), F.size("O4").alias("n4"))
 
 

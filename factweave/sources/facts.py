@@ -18,6 +18,10 @@ SCHEMAS = {
     "entry": "entry_func string, enrty_func string",
     "func_internal_list": "name string, start_ea string, size string",
     "import_api": "lib string, func string, proto string",
+    "func_call": f"calls map<string,{CALL}>",
+    "func_dis": "code map<string,struct<disasm:string,pcode:string>>",
+    "stack_vars": "funcs map<string,array<struct<name:string,type:string,size_bytes:bigint,dist_from_ret_addr:bigint,reg_id:bigint,usage_lines:array<bigint>>>>",
+    "global_refs": "vars map<string,struct<type:string,size_bytes:bigint,addr_ea:string,references:array<struct<function_name:string,decompiled_line:string>>>>",
     "reachable_callgraph": "entry string, reachable_funcs array<string>, edges map<string,array<string>>",
     "item": "meta struct<idx:bigint,path:string,file_name:string,sha256:string,elf_bits:string>, error string,"
     " entry struct<entry_func:string,enrty_func:string>, func_internal_list array<struct<name:string,start_ea:string,size:string>>,"
@@ -104,6 +108,44 @@ def functions_of(items: DataFrame) -> DataFrame:
     return rows.select("item_id", "f.name", number("f.start_ea").alias("start_ea"), number("f.size").alias("size"))
 
 
+def imports_of(items: DataFrame) -> DataFrame:
+    """imports (item_id, lib, api, proto)."""
+    return items.select("item_id", F.explode("item.import_api_list").alias("i")).select("item_id", "i.lib", F.col("i.func").alias("api"), "i.proto")
+
+
+def code_of(items: DataFrame) -> DataFrame:
+    """code (item_id, func, disasm, pcode) of corpus items; they carry disassembly alone, pcode is null."""
+    rows = items.select("item_id", F.explode("item.disasm_dict").alias("func", "d"))
+    return rows.select("item_id", "func", F.col("d.disasm").alias("disasm"), F.lit(None).cast("string").alias("pcode"))
+
+
+def import_edges_of(items: DataFrame) -> DataFrame:
+    """import_edges (item_id, src, dst, ln, call_type) of the items' call subgraphs."""
+    rows = items.select("item_id", F.explode("item.call_subgraph.import_edges").alias("src", "list")).select("item_id", "src", F.explode("list").alias("e"))
+    return rows.select("item_id", "src", "e.dst", "e.ln", "e.call_type")
+
+
+def entries_of(items: DataFrame) -> DataFrame:
+    """(item_id, entry), under either spelling of the field; items without one are left out."""
+    rows = items.select("item_id", F.coalesce("item.entry.entry_func", "item.entry.enrty_func").alias("entry"))
+    return rows.where("entry is not null and entry <> ''")
+
+
+def locals_of(documents: DataFrame) -> DataFrame:
+    """locals (item_id, func, var, lvar_idx, type, size_bytes, dist_from_ret_addr, reg_id, usage_lines) of ``stack_vars`` documents.
+
+    ``documents``: item_id and funcs, as ``document`` reads them.
+    """
+    rows = documents.select("item_id", F.explode("funcs").alias("func", "vars")).select("item_id", "func", F.posexplode("vars").alias("lvar_idx", "v"))
+    return rows.select("item_id", "func", F.col("v.name").alias("var"), "lvar_idx", "v.type", "v.size_bytes", "v.dist_from_ret_addr", "v.reg_id", "v.usage_lines")
+
+
+def global_refs_of(documents: DataFrame) -> DataFrame:
+    """global_refs (item_id, name, type, size_bytes, addr_ea, function_name, decompiled_line) of ``global_refs`` documents (item_id, vars)."""
+    rows = documents.select("item_id", F.explode("vars").alias("name", "g")).select("item_id", "name", "g.type", "g.size_bytes", "g.addr_ea", F.explode_outer("g.references").alias("r"))
+    return rows.select("item_id", "name", "type", "size_bytes", "addr_ea", "r.function_name", "r.decompiled_line")
+
+
 def roles(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> DataFrame:
     """(cwe, api, role, reason); an api may have several roles."""
     return spark.createDataFrame(rows, "cwe string, api string, role string, reason string")
@@ -126,9 +168,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("user_id").alias("item_id"), F.col("event_type").alias("fn"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value", "event_id", F.row_number().over(w).cast("long").alias("ln"))
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """calls facts: each event's type calls the next one's (USER_DEF) and an API named by its k (IMPORT_API)."""
-    ev = events(spark, sf_dir)
+def calls(ev: DataFrame) -> DataFrame:
+    """calls facts of ``events``: each event's type calls the next one's (USER_DEF) and an API named by its k (IMPORT_API)."""
     w = Window.partitionBy("item_id").orderBy("ln")
     kind = F.when(F.col("k") % 3 == 0, "INDIRECT").otherwise("DIRECT")
     user = ev.withColumn("callee", F.lead("fn").over(w)).where("callee is not null").select("item_id", F.col("fn").alias("caller"), "callee", F.lit("USER_DEF").alias("cat"), "ln", kind.alias("call_type"))
@@ -136,14 +177,25 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user.unionByName(api)
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entries(ev: DataFrame) -> DataFrame:
     """(item_id, entry): the type of each user's first event."""
-    return events(spark, sf_dir).where("ln = 1").select("item_id", F.col("fn").alias("entry"))
+    return ev.where("ln = 1").select("item_id", F.col("fn").alias("entry"))
 
 
-def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sizes(ev: DataFrame) -> DataFrame:
     """functions facts: (item_id, name, size), size the whole part of the largest value of the type."""
-    return events(spark, sf_dir).groupBy("item_id", F.col("fn").alias("name")).agg(F.floor(F.max("value")).cast("long").alias("size"))
+    return ev.groupBy("item_id", F.col("fn").alias("name")).agg(F.floor(F.max("value")).cast("long").alias("size"))
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, src, dst, seq): a supplier's line items as the edges of a sparse graph: several components, seldom a cycle."""
+    li = table(spark, sf_dir, "lineitem")
+    name = lambda c: F.concat(F.lit("f"), F.col(c) % 701)
+    return li.select(F.col("l_suppkey").alias("item_id"), name("l_partkey").alias("src"), name("l_orderkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+
+
+def trade_entries(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("item_id").agg(F.min_by("src", F.struct("seq", "src")).alias("entry"))
 
 
 #: The same adapters for the oracle, as the head of a WITH.
@@ -157,3 +209,9 @@ entries AS (SELECT item_id, fn AS entry FROM ev WHERE ln = 1),
 funcs AS (SELECT item_id, fn AS name, CAST(floor(max(value)) AS BIGINT) AS size FROM ev GROUP BY ALL),
 edges AS (SELECT DISTINCT item_id, caller AS src, callee AS dst FROM calls WHERE cat = 'USER_DEF')
 """
+
+TRADE_SQL = """
+li AS (SELECT l_suppkey AS item_id, 'f' || (l_partkey % 701) AS src, 'f' || (l_orderkey % 701) AS dst, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
+edges AS (SELECT DISTINCT item_id, src, dst FROM li),
+entries AS (SELECT item_id, src AS entry FROM li QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY seq, src) = 1)
+"""

@@ -14,7 +14,7 @@ def test_least_cover_all_cases(spark):
     got = {r.lead_id: r for r in gating.least_cover(gating.gates(spark.createDataFrame(rows, FLAGS))).collect()}
     assert len(got) == 64
     for name, cwe, ind, stack, glob, inner, alloca in rows:
-        on = {"inner_call": ind and inner, "global_var": glob, "fetch_pcode": inner, "stack_lvar": stack, "fetch_disasm": alloca}
+        on = {"inner_call": ind, "global_var": glob, "fetch_pcode": inner, "stack_lvar": stack, "fetch_disasm": alloca}
         needs = [[p for p in v if on[p]] for v in gating.TEMPLATE.values()]
         must = {p for p, use in (("stack_lvar", cwe == "121" and stack), ("fetch_disasm", alloca)) if use}
         sizes = [len(s) for n in range(6) for s in itertools.combinations(gating.PRIMITIVES, n) if must <= set(s) and all(not x or set(x) & set(s) for x in needs)]

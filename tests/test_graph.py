@@ -89,3 +89,38 @@ def test_taint_and_splice(spark):
     args = spark.createDataFrame([(1, "f", 1, "b"), (1, "f", 1, "z")], "item_id long, func string, call_id long, var string")
     seeds = spark.createDataFrame([(1, "f", "a")], "item_id long, func string, var string")
     assert {r.var for r in graph.local_taint(assigns, args, seeds).collect()} == {"a", "b", "z", "c"}
+
+
+def test_shortest_and_first_paths(graphs, spark):
+    made, edges, entries = graphs
+    starts = entries.select("item_id", F.col("entry").alias("name"))
+    best = {(r.item_id, r.end): tuple(r.path) for r in graph.shortest_paths(edges, starts).collect()}
+    ends = spark.createDataFrame([(i, n) for i in made for n in ("b", "end", "d")], "item_id long, name string")
+    few = {}
+    for r in graph.first_paths(edges, starts, ends, 3).collect():
+        few.setdefault((r.item_id, r.end), set()).add(tuple(r.path))
+    for i, e in made.items():
+        paths = paths_of(e)
+        for n in {p[-1] for p in paths}:
+            assert best[i, n] == min((p for p in paths if p[-1] == n), key=lambda p: (len(p), p))
+        for n in ("b", "end", "d"):
+            hits = sorted((p for p in paths if p[-1] == n and not {"b", "end", "d"} & set(p[:-1])), key=lambda p: (len(p), p))
+            assert few.get((i, n), set()) == set(hits[:3])
+    pairs = {(r.item_id, r.end) for r in graph.reachable_pairs(edges, starts).collect()}
+    assert pairs == set(best)
+
+
+def test_first_paths_of_a_layered_graph_stay_few(spark):
+    rows = [(1, "main", f"a0{k}") for k in range(3)] + [(1, f"{chr(97 + i)}0{j}", f"{chr(98 + i)}0{k}") for i in range(12) for j in range(3) for k in range(3)]
+    edges = spark.createDataFrame(rows, "item_id long, src string, dst string")
+    starts, ends = spark.createDataFrame([(1, "main")], "item_id long, name string"), spark.createDataFrame([(1, "m02")], "item_id long, name string")
+    got = graph.first_paths(edges, starts, ends, 20)
+    assert got.count() == 20 and all(len(r.path) == 14 for r in got.collect())
+    assert graph.shortest_paths(edges, starts, ends).first().path == ["main", *[f"{chr(97 + i)}00" for i in range(12)], "m02"]
+
+
+def test_append_new_keys_by_item(spark):
+    schema = "item_id long, call_chain array<string>, seq int"
+    old = spark.createDataFrame([(1, ["m", "a"], 0)], schema)
+    new = spark.createDataFrame([(1, ["m", "a"], 1), (2, ["m", "a"], 2), (3, ["m", "a"], 3), (3, ["m", "a"], 4), (3, [], 5)], schema)
+    assert sorted((r.item_id, r.seq) for r in relational.append_new(old, new).collect()) == [(1, 0), (2, 2), (3, 3)]

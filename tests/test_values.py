@@ -35,7 +35,7 @@ def test_hash_feature(spark):
 
 
 def test_instruction_tokens(spark):
-    lines = ["; only a comment", "loc_1:", ".text", "push rbp", "mov eax, [rbp-8] ; load", "nop", "call _memcpy", "call sub_40", "call eax", "call strange", "jmp short loc_2", "jz loc_3", "jecxz loc_4", "setz al", "cmovz eax, ebx", "cmp eax, 5", "test eax, eax", "retn", "call helper", "lea edi, aHello"]
+    lines = ["\t; only a comment\t", "loc_1:", ".text", "\tpush\trbp", "mov eax, [rbp-8] ; load", "nop", "call _memcpy", "call sub_40", "call eax", "call strange", "jmp short loc_2", "jz loc_3", "jecxz loc_4", "setz al", "cmovz eax, ebx", "cmp eax, 5", "test eax, eax", "retn", "call helper", "lea edi, aHello"]
     code = spark.createDataFrame([(1, "f", "\n".join(lines))], "item_id long, func string, disasm string")
     got = exprs.insn_tokens(code, spark.createDataFrame([(1, "memcpy")], "item_id long, api string"), spark.createDataFrame([(1, "helper")], "item_id long, name string"))
     tokens = [r.token for r in got.orderBy("pos").collect()]
@@ -43,7 +43,10 @@ def test_instruction_tokens(spark):
 
 
 def test_json_scans(spark):
-    assert exprs.extract_json_text('x ```json\n{"a": 1}\n```') == '{"a": 1}'
+    assert exprs.extract_json_text('```json\n{"a": 1}\n```') == exprs.extract_json_text('x ```json\n{"a": 1}\n```') == '{"a": 1}'
+    assert exprs.extract_json_text('```\nplain\n```') == "plain" and exprs.extract_json_text('say ```plain```') == 'say ```plain```'
+    assert exprs.extract_json_text("{" * 300_000) == "{" * 300_000  # one pass
+    assert exprs.first_object('{"state": 0} so </think> {"state": 1}', ("state",)) == '{"state": 1}'
     assert exprs.extract_json_text('so {"a": "}"} end') == '{"a": "}"}' and exprs.extract_json_text("none") == "none" and exprs.extract_json_text(None) is None
     assert exprs.first_object('<think>{"state": 0}</think> {"b": 1} {"state": 2}', ("state",)) == '{"state": 2}'
     assert exprs.first_object("no", ("state",)) is None
@@ -53,14 +56,17 @@ def test_json_scans(spark):
 
 def test_text_helpers(spark):
     row = spark.createDataFrame([("9a b", "int __cdecl ns::f(int, char)", 0x41424344, ["b", "a", "b"])], "s string, d string, v long, l array<string>")
-    got = row.select(exprs.clean_symbol(F.col("s")).alias("s"), exprs.short_name(F.col("d")).alias("d"), exprs.int_ascii(F.col("v")).alias("v"), exprs.numbered(F.col("l")).alias("n"), exprs.strip_prefix(F.lit(".__imp_puts")).alias("p"), exprs.gate_text(F.create_map(F.lit("O2"), "l")).alias("g"), exprs.render("Hi {{ who }}!", {"who": F.lit(None)}).alias("r"), exprs.signal_name(F.lit(11)).alias("sig"), exprs.error_hint(F.array(F.lit("O2"), F.lit("O1"))).alias("e")).first()
-    assert (got.s, got.d, got.v, got.p, got.g, got.r, got.sig) == ("f_9a_b", "ns::f", "ABCD", "puts", "O2: a, b", "Hi !", "SIGSEGV") and got.n.startswith("1. b\n2. a") and "O1, O2" in got.e
+    got = row.select(exprs.clean_symbol(F.col("s")).alias("s"), exprs.short_name(F.col("d")).alias("d"), exprs.int_ascii(F.col("v")).alias("v"), exprs.code_text(F.col("l")).alias("n"), exprs.strip_prefix(F.lit(".__imp_puts")).alias("p"), exprs.gate_text(F.create_map(F.lit("O2"), "l")).alias("g"), exprs.render("Hi {{ who }}!", {"who": F.lit(None)}).alias("r"), exprs.signal_name(F.lit(11)).alias("sig"), exprs.error_hint(F.lit("Say.\n"), F.array(F.lit("O2"), F.lit("O1"))).alias("e")).first()
+    assert (got.s, got.d, got.v, got.p, got.g, got.r, got.sig) == ("f_9a_b", "ns::f", "ABCD", "puts", "Minimum Primitive Set for Satisfying Obligation Requirements:\nO2's minimum primitive set: [a, b]", "Hi !", "SIGSEGV") and got.n == "b\n\na\n\nb" and got.e.startswith("Say.\n\nObligation-status") and "failed for O2,O1;" in got.e
 
 
 def test_merge_is_the_ordered_fold(spark):
     rows = [("f", "dynsym", "", "p1", 1), ("f", "libc", "", "p1", 2), ("f", "dynsym", "int f()", "p2", 1), ("f", "libm", "int f()", "p3", 1), ("f", "libz", "x", "p4", 1), ("g", None, None, "p1", 3)]
     got = {r.func: (r.lib, r.proto) for r in aggregates.merge_imports(spark.createDataFrame(rows, "func string, lib string, proto string, path string, pos int")).collect()}
     assert got == {"f": ("libm", "int f()"), "g": ("", "")}
+    # An entry that lost before wins at a later place.
+    rows = [("h", "dynsym", "", "a", 1), ("h", "libc", "", "a", 2), ("h", " .dynsym", "int h()", "a", 3), ("h", "libc", "", "a", 4)]
+    assert aggregates.merge_imports(spark.createDataFrame(rows, "func string, lib string, proto string, path string, pos int")).first().lib == "libc"
 
 
 def test_smoke_and_allocation(spark):
@@ -83,6 +89,24 @@ def test_farthest_first_equals_greedy(spark):
     assert [r.key for r in features.farthest_first(df, 6).orderBy("step").collect()] == chosen
 
 
+def test_round_robin_takes_the_least_like(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cluster = [k % 3 if k < 30 else 0 for k in range(40)]
+    vec = spark.createDataFrame([(k, i, float(x[k, i])) for k in range(40) for i in range(5)], "item_id long, idx long, val double")
+    names = spark.createDataFrame([(k, f"c{cluster[k]}") for k in range(40)], "item_id long, cluster string")
+    members = {c: [k for k in range(40) if cluster[k] == c] for c in range(3)}
+    chosen = {c: [max(m, key=lambda k: (round(float(x[k] @ (x[m].mean(0) / np.linalg.norm(x[m].mean(0)))), 9), -k))] for c, m in members.items()}
+    order = sorted(members, key=lambda c: -len(members[c]))
+    while sum(map(len, chosen.values())) < 14:
+        for c in order:
+            rest = [k for k in members[c] if k not in chosen[c]]
+            if rest and sum(map(len, chosen.values())) < 14:
+                chosen[c].append(min(rest, key=lambda k: (round(max(float(x[k] @ x[j]) for j in chosen[c]), 9), k)))
+    assert {r.item_id for r in features.sample(vec, names, 14).collect()} == {k for v in chosen.values() for k in v}
+
+
 def test_idf_and_sampling(spark):
     rows = [(i, i % 4, 1.0) for i in range(12)] + [(i, 9, 2.0) for i in range(12)]
     vec = features.idf_normalised(spark.createDataFrame(rows, "item_id long, idx long, val double"), 12)
