@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -48,6 +50,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Seconds between two collections of the driver's garbage, and when the last one was.
+TIDY_SECONDS = 8
+_tidied = [time.monotonic()]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver forget finished plans, so that Spark's cleaner drops their shuffle files and broadcasts.
+
+    Spark itself does so every half hour or where the heap is full; operators of many steps need it sooner.
+    """
+    if time.monotonic() - _tidied[0] >= TIDY_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _tidied[0] = time.monotonic()
+
+
 class Kept:
     """A table written to the shared folder: its rows are computed once and survive lost executors."""
 
@@ -56,6 +74,7 @@ class Kept:
         self.path = os.path.join(shared_dir(self.spark), f"factweave-{tag}-{uuid.uuid4().hex}")
         df.write.parquet(self.path, partitionBy=list(partition_by) or None)
         self.schema = df.schema
+        tidy(self.spark)
 
     @property
     def df(self) -> DataFrame:
