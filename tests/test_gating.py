@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 
 from factweave.operators import gating
 
@@ -55,3 +56,15 @@ def test_streamed_replay(spark, tmp_path):
     finally:
         q.stop()
     assert [got[k].accepted for k in range(3)] == [True, False, True] and got[2].O1 == "Satisfied" and got[2].gating_flag
+
+
+def test_dispatch_answers_each_question_by_its_kind(spark):
+    asked = spark.createDataFrame(
+        [("a", 0, 1, "fetch_pcode", "f", None), ("a", 1, 1, "stack_lvar", "f", "buf"), ("b", 0, 2, "fetch_pcode", "f", None), ("b", 1, 1, "stack_lvar", "f", "other")],
+        "lead_id string, turn int, item_id int, query_type string, func string, var string",
+    )
+    code = spark.createDataFrame([(1, "f", "x = 1"), (1, "g", "y = 2")], "item_id int, func string, pcode string")
+    local = spark.createDataFrame([(1, "f", "buf", 16)], "item_id int, func string, var string, lvar_size int")
+    got = {(r.lead_id, r.turn): (r.type, json.loads(r.payload)) for r in gating.dispatch(asked, {"fetch_pcode": code, "stack_lvar": local}).collect()}
+    # Item 2 and the unknown variable have no fact: their questions stay, without an answer.
+    assert got == {("a", 0): ("fetch_pcode", {"pcode": "x = 1"}), ("a", 1): ("stack_lvar", {"lvar_size": 16}), ("b", 0): ("fetch_pcode", {}), ("b", 1): ("stack_lvar", {})}

@@ -140,3 +140,13 @@ def test_sources_and_sinks(spark, tmp_path):
     doc = json.loads(reports.corpus_document({"n": 1}, spark.createDataFrame([("1", "x")], "item_id string, path string")).first().value)
     assert doc == {"meta": {"n": 1}, "items": {"1": {"path": "x"}}}
     assert reports.write_once(catalog, str(tmp_path / "out")) and not reports.write_once(catalog, str(tmp_path / "out"))
+
+
+def test_principal_components_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(40, 5)) * [5, 3, 2, 1, 0.5] + [10, 0, -4, 2, 1]
+    dense = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(data)], "item_id int, vec array<double>")
+    got = np.array([[r.pc1, r.pc2, r.pc3] for r in features.principal_components(dense).orderBy("item_id").collect()])
+    centred = data - data.mean(axis=0)
+    want = centred @ np.linalg.svd(centred, full_matrices=False)[2][:3].T
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-8)
