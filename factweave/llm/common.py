@@ -9,6 +9,7 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,9 +64,28 @@ def tidy(spark: SparkSession) -> None:
     if time.monotonic() - _tidied[0] >= TIDY_SECONDS:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        _trim(spark)
         _tidied[0] = time.monotonic()
 
 
+def _trim(spark: SparkSession) -> None:
+    """Give back to the system what the driver's JVM has freed outside its heap (compiling takes most of it).
+
+    The C library keeps that for its many threads otherwise, hundreds of megabytes in a session of many plans. JVMs that lack the
+    command (before 17.0.9, or not on glibc) go without.
+    """
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds, given = array(jvm.Class, 4), array(jvm.Object, 4)
+    try:
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = jvm.Class.forName(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # By the interface's method: the server's own class isn't open to calls.
+        jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        pass
+
+
 class Kept:
     """A table written to the shared folder: its rows are computed once and survive lost executors."""
 

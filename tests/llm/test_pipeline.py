@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import random
+import re
+from pathlib import Path
 
 import corpus_pipeline
-from factweave.llm import queries
+import pytest
+from factweave.llm import common, queries
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -57,3 +60,26 @@ def test_queries_are_registered_whole():
     names = set(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
     assert os.path.exists(os.path.join(os.path.dirname(corpus_pipeline.__file__), "__spark_entry__.py"))
+
+
+def test_tidy_gives_back_what_the_jvm_freed_outside_its_heap(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    if not status.exists():
+        pytest.skip("memory can't be read here")
+    anonymous = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", status.read_text())[1]) / 1024
+    held = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    held.setAccessible(True)
+    unsafe = held.get(None)
+    blocks = [unsafe.allocateMemory(100_000) for _ in range(2_000)]
+    for x in blocks:
+        unsafe.setMemory(x, 100_000, 1)
+    for x in blocks[:-1]:  # the last one keeps the C library from shrinking its arena by itself
+        unsafe.freeMemory(x)
+    for _ in range(2):
+        jvm.System.gc()
+    before = anonymous()
+    monkeypatch.setattr(common, "_tidied", [float("-inf")])
+    common.tidy(spark)
+    assert anonymous() < before - 120
+    unsafe.freeMemory(blocks[-1])
