@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.sources.store import importable, stored
+from factweave.sources.store import importable, large, stored
 
 
 def call_subgraph(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -292,10 +292,10 @@ def wl_signature(edges: DataFrame, labels: DataFrame, rounds: int = 2) -> DataFr
     now = labels.select("item_id", "name", "label")
     for r in range(rounds):
         other = now.select("item_id", F.col("name").alias("o"), F.col("label").alias("l"))
-        out = pairs.join(other.withColumnRenamed("o", "dst"), ["item_id", "dst"]).groupBy("item_id", F.col("src").alias("name")).agg(F.array_join(F.sort_array(F.collect_list("l")), ",").alias("outs"))
-        ins = pairs.join(other.withColumnRenamed("o", "src"), ["item_id", "src"]).groupBy("item_id", F.col("dst").alias("name")).agg(F.array_join(F.sort_array(F.collect_list("l")), ",").alias("ins"))
+        out = pairs.join(large(other.withColumnRenamed("o", "dst")), ["item_id", "dst"]).groupBy("item_id", F.col("src").alias("name")).agg(F.array_join(F.sort_array(F.collect_list("l")), ",").alias("outs"))
+        ins = pairs.join(large(other.withColumnRenamed("o", "src")), ["item_id", "src"]).groupBy("item_id", F.col("dst").alias("name")).agg(F.array_join(F.sort_array(F.collect_list("l")), ",").alias("ins"))
         text = F.concat("label", F.lit("|OUT:"), F.coalesce("outs", F.lit("")), F.lit("|IN:"), F.coalesce("ins", F.lit("")))
-        now = now.join(out, ["item_id", "name"], "left").join(ins, ["item_id", "name"], "left").select("item_id", "name", F.substring(F.md5(text), 1, 12).alias("label"))
+        now = now.join(large(out), ["item_id", "name"], "left").join(large(ins), ["item_id", "name"], "left").select("item_id", "name", F.substring(F.md5(text), 1, 12).alias("label"))
         now = stored(now, f"g10-{r}") if r + 1 < rounds else now
     return now.groupBy("item_id").agg(F.substring(F.md5(F.array_join(F.sort_array(F.collect_list("label")), ",")), 1, 16).alias("wl"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factweave.functions import exprs
 from factweave.operators import aggregates, features, gating, graph, leads, relational
 from factweave.sources import facts
-from factweave.sources.store import stored
+from factweave.sources.store import large, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -249,7 +249,7 @@ wl AS (SELECT item_id, substr(md5(string_agg(label, ',' ORDER BY label)), 1, 16)
 def _wl(f: Facts) -> DataFrame:
     edges = f.calls.where("cat = 'USER_DEF'").select("item_id", F.col("caller").alias("src"), F.col("callee").alias("dst"))
     out = edges.groupBy("item_id", F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    base = f.sizes.join(f.entries, "item_id").join(out, ["item_id", "name"], "left")
+    base = f.sizes.join(large(f.entries), "item_id").join(large(out), ["item_id", "name"], "left")
     label = F.concat(F.when(F.col("name") == F.col("entry"), "ROOT|").otherwise(""), F.lit("S"), exprs.bucket_log2(F.col("size")).cast("string"), F.lit("|O"), F.coalesce("n", F.lit(0)).cast("string"))
     return graph.wl_signature(edges, base.select("item_id", "name", label.alias("label")))
 

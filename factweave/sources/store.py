@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys that a round of a loop may send to all executors.
+FEW = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +31,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """To be joined by sorting both sides, however small its files are.
+
+    Spark goes by the size of the files, and facts repeat few values: ten megabytes of them, which it would send whole
+    through the driver, hold millions of rows.
+    """
+    return df.hint("merge")
+
+
+def counted(df: DataFrame, rows: int) -> DataFrame:
+    """To be joined by sending it to all executors if it has few rows, else as ``large``."""
+    return F.broadcast(df) if rows <= FEW else large(df)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers that share the driver's files find this package (else ship it with --py-files)."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
