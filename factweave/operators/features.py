@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.exprs import api_category, bucket_log2, hash_feature
-from factweave.sources.store import stored
+from factweave.sources.store import large, stored
 
 
 def _one(df: DataFrame, name: str, value) -> DataFrame:
@@ -62,7 +62,7 @@ def idf_normalised(vectors: DataFrame, n_items: int) -> DataFrame:
 
 def cluster_key(bits: DataFrame, wl: DataFrame) -> DataFrame:
     """V3: clusters are equal keys B{bits}|WL{signature}."""
-    return bits.join(wl, "item_id").select("item_id", F.concat(F.lit("B"), F.col("bits").cast("string"), F.lit("|WL"), "wl").alias("cluster"))
+    return bits.join(large(wl), "item_id").select("item_id", F.concat(F.lit("B"), F.col("bits").cast("string"), F.lit("|WL"), "wl").alias("cluster"))
 
 
 def centroids(vectors: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from factweave.operators import graph
+from factweave.operators import features, graph
 from factweave.sources.store import stored
 
 
@@ -26,3 +26,11 @@ def test_wl_signature_sends_no_table(facts):
     edges, labels, _ = facts
     assert sent(edges.join(labels, "item_id"))  # by the size of the files
     assert not sent(graph.wl_signature(edges, labels))
+
+
+def test_cluster_key_sends_no_table(facts):
+    _, labels, entries = facts
+    bits = entries.select("item_id", (entries.item_id * 32).alias("bits"))
+    wl = stored(labels.selectExpr("item_id", "label as wl").distinct(), "t-wl")
+    got = features.cluster_key(bits, wl)
+    assert not sent(got) and sorted(r.cluster for r in got.collect()) == ["B32|WLL", "B64|WLL"]
