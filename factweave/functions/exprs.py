@@ -119,7 +119,7 @@ def int_ascii(value: Column) -> Column:
     h = F.hex(value)
     h = F.when(F.length(h) % 2 == 1, F.concat(F.lit("0"), h)).otherwise(h)
     text = F.decode(F.unhex(h), "ISO-8859-1")
-    return F.when((value > 255) & F.length(text).between(2, 8) & text.rlike("^[ -~]+$"), text)
+    return F.when((value > 255) & F.length(text).between(2, 8) & ~text.rlike("[^ -~]"), text)  # $ would pass an end of line
 
 
 def _balanced(text: str, opens: str, closes: str) -> str | None:

@@ -150,3 +150,9 @@ def test_principal_components_equal_numpy(spark):
     centred = data - data.mean(axis=0)
     want = centred @ np.linalg.svd(centred, full_matrices=False)[2][:3].T
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-8)
+
+
+def test_int_ascii_refuses_ends_of_lines(spark):
+    cases = {0x410A: None, 0x410D: None, 0x4185: None, 0x410D0A: None, 0x4141: "AA", 0x0A41: None, 255: None}
+    got = column(spark, list(cases), "long").select("x", exprs.int_ascii(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in got} == cases
