@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.exprs import stripped
+from factweave.sources.store import large
 
 
 def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -17,7 +18,7 @@ def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:
 def reachable_functions(functions: DataFrame, reach: DataFrame, entries: DataFrame) -> DataFrame:
     """Functions reachable from the entry; the entry stays anyway."""
     keep = reach.select("item_id", "name").unionByName(entries.select("item_id", F.col("entry").alias("name"))).distinct()
-    return functions.join(keep, ["item_id", "name"], "left_semi")
+    return functions.join(large(keep), ["item_id", "name"], "left_semi")
 
 
 def slim(code: DataFrame) -> DataFrame:
@@ -154,8 +155,15 @@ def global_lookup(asked: DataFrame, globals_: DataFrame) -> DataFrame:
 
 def append_new(old: DataFrame, new: DataFrame, chain: str = "call_chain", order: str = "seq") -> DataFrame:
     """``old`` and the new rows whose chain is neither empty, nor in ``old``, nor repeated among the new of its item."""
-    fresh = new.where(F.size(chain) > 0).join(old.select("item_id", chain).distinct(), ["item_id", chain], "left_anti")
-    return old.unionByName(first_by(fresh, ["item_id", chain], [order]).select(*old.columns))
+    key = ["item_id", chain]
+    rest = [c for c in old.columns if c not in (*key, order)]
+    known = old.select(*key, F.lit(None).cast(new.schema[order].dataType).alias(order), *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in rest], F.lit(True).alias("__old"))
+    both = new.where(F.size(chain) > 0).select(*key, order, *rest, F.lit(False).alias("__old")).unionByName(known)
+    # One grouping by hash: sorting long chains took memory, and so would a join with the old ones.
+    least = F.when(F.max(~F.col("__old") & F.col(order).isNull()), None).otherwise(F.min(order))  # null comes first
+    first = least.alias(order) if not rest else F.min(F.when(~F.col("__old"), F.struct(order, *rest))).alias("__s")
+    fresh = both.groupBy(*key).agg(first, F.max("__old").alias("__old")).where(~F.col("__old"))
+    return old.unionByName((fresh.select(*key, "__s.*") if rest else fresh).select(*old.columns))
 
 
 def without_prefixes(chains: DataFrame, chain: str = "path") -> DataFrame:

@@ -124,3 +124,15 @@ def test_append_new_keys_by_item(spark):
     old = spark.createDataFrame([(1, ["m", "a"], 0)], schema)
     new = spark.createDataFrame([(1, ["m", "a"], 1), (2, ["m", "a"], 2), (3, ["m", "a"], 3), (3, ["m", "a"], 4), (3, [], 5)], schema)
     assert sorted((r.item_id, r.seq) for r in relational.append_new(old, new).collect()) == [(1, 0), (2, 2), (3, 3)]
+
+
+def test_append_new_groups_by_hash(spark):
+    old = spark.createDataFrame([(1, ["m", "a"], 0)], "item_id long, call_chain array<string>, seq int")
+    new = spark.createDataFrame([(1, ["m", "a"], 1), (1, ["m", "b"], 4), (1, ["m", "b"], 3), (2, ["m", "a"], 2), (2, [], 5), (2, None, 6)], "item_id long, call_chain array<string>, seq int")
+    got = relational.append_new(old, new)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan and "Window" not in plan
+    assert sorted((r.item_id, r.call_chain, r.seq) for r in got.collect()) == [(1, ["m", "a"], 0), (1, ["m", "b"], 3), (2, ["m", "a"], 2)]
+    # With further columns the whole first row comes.
+    wide = [x.withColumn("note", F.concat(F.lit("n"), x["seq"].cast("string"))) for x in (old, new)]
+    assert sorted((r.item_id, r.seq, r.note) for r in relational.append_new(*wide).collect()) == [(1, 0, "n0"), (1, 3, "n3"), (2, 2, "n2")]
