@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.sources.store import importable, large, stored
+from factweave.sources.store import counted, importable, large, stored
 
 
 def call_subgraph(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -40,19 +40,19 @@ def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(item_id, name, depth) of all nodes reachable from each item's entry, the entry included."""
     pairs = stored(edges.select("item_id", "src", "dst").distinct(), "g4-edges")
     seen = stored(entries.select("item_id", F.col("entry").alias("name"), F.lit(0).alias("depth")).distinct(), "g4-seen")
-    front, depth = seen, 0
+    front, depth, n = seen, 0, seen.count()
     while True:
         depth += 1
-        step = front.join(pairs, (front.item_id == pairs.item_id) & (front.name == pairs.src)).select(pairs.item_id, pairs.dst.alias("name")).distinct()
-        front = stored(step.join(seen, ["item_id", "name"], "left_anti").withColumn("depth", F.lit(depth)), "g4-front")
-        if front.isEmpty():
+        step = counted(front, n).alias("f").join(large(pairs).alias("e"), F.expr("f.item_id = e.item_id and f.name = e.src")).select("e.item_id", F.col("e.dst").alias("name")).distinct()
+        front = stored(step.join(large(seen), ["item_id", "name"], "left_anti").withColumn("depth", F.lit(depth)), "g4-front")
+        if (n := front.count()) == 0:
             return seen
         seen = seen.unionByName(front)
 
 
 def induced(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Edges whose two ends are both among the names."""
-    keep = names.select("item_id", "name")
+    keep = large(names.select("item_id", "name"))
     one = edges.join(keep.withColumnRenamed("name", "src"), ["item_id", "src"], "left_semi")
     return one.join(keep.withColumnRenamed("name", "dst"), ["item_id", "dst"], "left_semi").select("item_id", "src", "dst")
 
@@ -65,7 +65,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame | None = N
     pairs = stored(edges.select("item_id", "src", "dst").distinct(), "g5-edges")
     path = stored(starts.select("item_id", F.array("name").alias("path")), "g5-paths")
     out, depth = [], 1
-    stop = None if ends is None else ends.select("item_id", F.col("name").alias("end")).distinct()
+    stop = None if ends is None else large(ends.select("item_id", F.col("name").alias("end")).distinct())
     while True:
         last = path.withColumn("end", F.element_at("path", -1))
         if stop is None:
@@ -76,7 +76,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame | None = N
             grow = last.join(stop, ["item_id", "end"], "left_anti")
         if max_depth is not None and depth >= max_depth:
             break
-        more = grow.alias("p").join(pairs.alias("e"), (F.col("p.item_id") == F.col("e.item_id")) & (F.col("p.end") == F.col("e.src")) & ~F.array_contains("p.path", F.col("e.dst")))
+        more = grow.alias("p").join(large(pairs).alias("e"), (F.col("p.item_id") == F.col("e.item_id")) & (F.col("p.end") == F.col("e.src")) & ~F.array_contains("p.path", F.col("e.dst")))
         path = stored(more.select("p.item_id", F.concat("p.path", F.array("e.dst")).alias("path")), "g5-paths")
         depth += 1
         if path.isEmpty():
@@ -93,13 +93,13 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame | None =
     A search by breadth that keeps one path a node; with ``ends`` it doesn't go on beyond an end, and only ends come out.
     """
     pairs = stored(edges.select("item_id", "src", "dst").distinct(), "bfs-edges")
-    stop = None if ends is None else stored(ends.select("item_id", "name").distinct(), "bfs-ends")
+    stop = None if ends is None else large(stored(ends.select("item_id", "name").distinct(), "bfs-ends"))
     front = stored(starts.select("item_id", "name").distinct().withColumn("path", F.array("name")), "bfs-front")
     seen = front
     while True:
         grow = front if stop is None else front.join(stop, ["item_id", "name"], "left_anti")
-        step = grow.join(pairs, (grow.item_id == pairs.item_id) & (grow.name == pairs.src)).select(pairs.item_id, pairs.dst.alias("name"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.join(seen.select("item_id", "name"), ["item_id", "name"], "left_anti").groupBy("item_id", "name").agg(F.min("path").alias("path"))
+        step = grow.alias("f").join(large(pairs).alias("e"), F.expr("f.item_id = e.item_id and f.name = e.src")).select("e.item_id", F.col("e.dst").alias("name"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.join(large(seen.select("item_id", "name")), ["item_id", "name"], "left_anti").groupBy("item_id", "name").agg(F.min("path").alias("path"))
         front = stored(step, "bfs-front")
         if front.isEmpty():
             break
@@ -112,10 +112,11 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(item_id, start, end): which nodes each start reaches, itself included; nothing is enumerated but these pairs."""
     pairs = stored(edges.select("item_id", "src", "dst").distinct(), "reach-edges")
     seen = front = stored(starts.select("item_id", F.col("name").alias("start"), F.col("name").alias("end")).distinct(), "reach-front")
+    n = front.count()
     while True:
-        step = front.join(pairs, (front.item_id == pairs.item_id) & (front.end == pairs.src)).select(pairs.item_id, "start", pairs.dst.alias("end")).distinct()
-        front = stored(step.join(seen, ["item_id", "start", "end"], "left_anti"), "reach-front")
-        if front.isEmpty():
+        step = counted(front, n).alias("f").join(large(pairs).alias("e"), F.expr("f.item_id = e.item_id and f.end = e.src")).select("e.item_id", "start", F.col("e.dst").alias("end")).distinct()
+        front = stored(step.join(large(seen), ["item_id", "start", "end"], "left_anti"), "reach-front")
+        if (n := front.count()) == 0:
             return seen
         seen = seen.unionByName(front)
 
@@ -161,7 +162,7 @@ def complete_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(item_id, path) of the simple paths from the starts that no edge to a node off the path extends."""
     paths = stored(simple_paths(edges, starts).select("item_id", "path"), "g6-paths")
     extended = paths.where(F.size("path") > 1).select("item_id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path"))
-    return paths.join(extended, ["item_id", "path"], "left_anti")
+    return paths.join(large(extended), ["item_id", "path"], "left_anti")
 
 
 def _tarjan(adj: dict) -> dict:
@@ -235,7 +236,7 @@ def condensation(edges: DataFrame, comps: DataFrame) -> DataFrame:
     """Distinct edges between different components."""
     a = comps.select("item_id", F.col("name").alias("src"), F.col("comp").alias("ci"))
     b = comps.select("item_id", F.col("name").alias("dst"), F.col("comp").alias("cj"))
-    return edges.join(a, ["item_id", "src"]).join(b, ["item_id", "dst"]).where("ci <> cj").select("item_id", "ci", "cj").distinct()
+    return edges.join(large(a), ["item_id", "src"]).join(large(b), ["item_id", "dst"]).where("ci <> cj").select("item_id", "ci", "cj").distinct()
 
 
 def dag_metrics(edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -245,7 +246,7 @@ def dag_metrics(edges: DataFrame, entries: DataFrame) -> DataFrame:
     an item without edges is its entry alone.
     """
     importable(edges.sparkSession)
-    rows = entries.select("item_id", "entry").join(edges.select("item_id", "src", "dst"), "item_id", "left")
+    rows = entries.select("item_id", "entry").join(large(edges.select("item_id", "src", "dst")), "item_id", "left")
     kind = rows.schema["item_id"].dataType.simpleString()
 
     def run(pdf):
@@ -303,7 +304,7 @@ def wl_signature(edges: DataFrame, labels: DataFrame, rounds: int = 2) -> DataFr
 def degrees(edges: DataFrame) -> DataFrame:
     """Per item max and mean out-degree over all nodes, leaves, node and edge counts; edges repeat as given."""
     out = edges.groupBy("item_id", F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("d"))
-    per = nodes(edges).join(out, ["item_id", "name"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    per = nodes(edges).join(large(out), ["item_id", "name"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
     return per.groupBy("item_id").agg(F.max("d").alias("max_out"), F.avg("d").alias("avg_out"), F.count_if(F.col("d") == 0).alias("leaves"), F.count(F.lit(1)).alias("n_nodes"), F.sum("d").alias("n_edges"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from factweave.operators import features, graph
+from factweave.operators import features, graph, relational
+from factweave.sources import store
 from factweave.sources.store import stored
 
 
@@ -34,3 +35,22 @@ def test_cluster_key_sends_no_table(facts):
     wl = stored(labels.selectExpr("item_id", "label as wl").distinct(), "t-wl")
     got = features.cluster_key(bits, wl)
     assert not sent(got) and sorted(r.cluster for r in got.collect()) == ["B32|WLL", "B64|WLL"]
+
+
+def test_reachability_sends_few_rows_at_most(facts, monkeypatch):
+    edges, _, entries = facts
+    plans, write = [], stored
+    monkeypatch.setattr(graph, "stored", lambda df, tag: (plans.append((tag, sent(df))), write(df, tag))[1])
+    want = {(i, n) for i in (1, 2) for n in ("main", "a", "b", "c")}
+    for few in (0, store.FEW):
+        monkeypatch.setattr(store, "FEW", few)
+        plans.clear()
+        reach = graph.reachable(edges, entries)
+        assert {(r.item_id, r.name) for r in reach.collect()} == want
+        # A round's few new rows may go to all executors; not the edges, nor what was found before.
+        assert {s for tag, s in plans if tag == "g4-front"} == {few > 0}
+        assert not sent(relational.reachable_functions(graph.nodes(edges), reach, entries))
+    monkeypatch.setattr(store, "FEW", 0)
+    plans.clear()
+    paths = graph.simple_paths(edges, entries.selectExpr("item_id", "entry as name"))
+    assert paths.count() == 8 and plans and not any(s for _, s in plans)
