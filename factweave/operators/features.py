@@ -54,8 +54,8 @@ def document_frequency(vectors: DataFrame) -> DataFrame:
 
 def idf_normalised(vectors: DataFrame, n_items: int) -> DataFrame:
     """V2: smoothed IDF ln((1 + n) / (1 + df)) + 1, then unit length (a zero vector stays)."""
-    df = document_frequency(vectors)
-    scaled = vectors.join(df, "idx").select("item_id", "idx", (F.col("val") * (F.log(F.lit(1.0 + n_items) / (1 + F.col("df"))) + 1)).alias("val"))
+    df = document_frequency(vectors)  # a row for each hash bucket at most
+    scaled = vectors.join(F.broadcast(df), "idx").select("item_id", "idx", (F.col("val") * (F.log(F.lit(1.0 + n_items) / (1 + F.col("df"))) + 1)).alias("val"))
     norm = F.sqrt(F.sum(F.col("val") * F.col("val")).over(Window.partitionBy("item_id")))
     return scaled.select("item_id", "idx", (F.col("val") / F.when(norm == 0, 1.0).otherwise(norm)).alias("val"))
 
@@ -68,15 +68,15 @@ def cluster_key(bits: DataFrame, wl: DataFrame) -> DataFrame:
 def centroids(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
     """A10: (cluster, idx, val, weight): means over all members, absent entries being zero."""
     size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("weight"))
-    sums = vectors.join(clusters, "item_id").groupBy("cluster", "idx").agg(F.sum("val").alias("s"))
-    return sums.join(size, "cluster").select("cluster", "idx", (F.col("s") / F.col("weight")).alias("val"), "weight")
+    sums = vectors.join(large(clusters), "item_id").groupBy("cluster", "idx").agg(F.sum("val").alias("s"))
+    return sums.join(large(size), "cluster").select("cluster", "idx", (F.col("s") / F.col("weight")).alias("val"), "weight")
 
 
 def medoids(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
     """V5: of each cluster the member most similar to its centroid; ties and zero centroids go to the least id."""
     mean = centroids(vectors, clusters)
     norm = mean.groupBy("cluster").agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("norm"))
-    dots = vectors.join(clusters, "item_id").join(mean.select("cluster", "idx", F.col("val").alias("c")), ["cluster", "idx"]).groupBy("cluster", "item_id").agg(F.sum(F.col("val") * F.col("c")).alias("dot"))
+    dots = vectors.join(large(clusters), "item_id").join(mean.select("cluster", "idx", F.col("val").alias("c")), ["cluster", "idx"]).groupBy("cluster", "item_id").agg(F.sum(F.col("val") * F.col("c")).alias("dot"))
     all_ = clusters.join(dots, ["cluster", "item_id"], "left").join(norm, "cluster", "left")
     sim = F.when(F.col("norm") > 0, F.coalesce("dot", F.lit(0.0)) / F.col("norm")).otherwise(0.0)
     w = Window.partitionBy("cluster").orderBy(F.round(sim, 9).desc(), "item_id")
@@ -112,7 +112,7 @@ def nearest_chosen(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
     mine = vectors.join(chosen.select("item_id"), "item_id", "left_semi").select(F.col("item_id").alias("c"), "idx", F.col("val").alias("cv"))
     dots = vectors.join(mine, "idx").groupBy("item_id", "c").agg(F.sum(F.col("val") * F.col("cv")).alias("dot"))
     best = dots.groupBy("item_id").agg(F.max("dot").alias("sim"))
-    return vectors.select("item_id").distinct().join(best, "item_id", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    return vectors.select("item_id").distinct().join(large(best), "item_id", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
 
 
 def sample(vectors: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
@@ -142,13 +142,13 @@ def _round_robin(vectors: DataFrame, clusters: DataFrame, first: DataFrame, k: i
     turns, missing = 0, k - len(sizes)
     while sum(min(n - 1, turns) for n in sizes) < missing:
         turns += 1
-    members = stored(vectors.join(clusters, "item_id").select("item_id", "cluster", "idx", "val"), "v6-members")
+    members = stored(vectors.join(large(clusters), "item_id").select("item_id", "cluster", "idx", "val"), "v6-members")
     near = stored(clusters.join(first.select("item_id"), "item_id", "left_anti").select("item_id", "cluster", F.lit(-2.0).alias("near")), "v6-near")
     last, picked = first, None
     for turn in range(1, turns + 1):
         with_last = members.join(last.select("item_id"), "item_id", "left_semi").select("cluster", "idx", F.col("val").alias("c"))
         dots = members.join(with_last, ["cluster", "idx"]).groupBy("item_id").agg(F.sum(F.col("val") * F.col("c")).alias("dot"))
-        near = near.join(dots, "item_id", "left").select("item_id", "cluster", F.greatest("near", F.coalesce("dot", F.lit(0.0))).alias("near"))
+        near = near.join(large(dots), "item_id", "left").select("item_id", "cluster", F.greatest("near", F.coalesce("dot", F.lit(0.0))).alias("near"))
         near = stored(near, "v6-near")
         last = stored(near.groupBy("cluster").agg(F.min(F.struct(F.round("near", 9).alias("near"), "item_id")).alias("b")).select("cluster", "b.item_id"), "v6-last")
         near = near.join(last.select("item_id"), "item_id", "left_anti")
@@ -172,14 +172,14 @@ def stratified_sample(vectors: DataFrame, clusters: DataFrame, bits: DataFrame,
     strata = [(b, counts[b]) for b in (32, 64) if counts.get(b)] or sorted(counts.items())
     out = None
     for b, places in allocation(strata, k).items():
-        ids = bits.where(F.col("bits") == b).select("item_id")
+        ids = large(bits.where(F.col("bits") == b).select("item_id"))
         part = sample(vectors.join(ids, "item_id", "left_semi"), clusters.join(ids, "item_id", "left_semi"), places)
         out = part if out is None else out.unionByName(part)
     out = stored(out.distinct(), "v7")
     missing = min(k, clusters.count()) - out.count()
     if missing > 0:
         near = nearest_chosen(vectors, out)
-        extra = clusters.join(out, "item_id", "left_anti").join(near, "item_id", "left").orderBy(F.round(F.coalesce("sim", F.lit(0.0)), 9), "item_id").limit(missing)
+        extra = clusters.join(out, "item_id", "left_anti").join(large(near), "item_id", "left").orderBy(F.round(F.coalesce("sim", F.lit(0.0)), 9), "item_id").limit(missing)
         out = out.unionByName(extra.select("item_id"))
     return out
 
